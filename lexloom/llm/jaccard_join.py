@@ -55,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _PLACE = _constants(SHINGLE, 1)
-_XOR, _MUL = _constants(BANDS * ROWS, 2), _constants(BANDS * ROWS, 3)
+_XOR, _MUL = (_constants(BANDS * ROWS, 2) >> np.uint64(32)).astype(np.uint32), _constants(BANDS * ROWS, 3).astype(np.uint32)
 _FOLD, _BAND = _constants(ROWS, 4), _constants(BANDS, 5)
 
 
@@ -84,12 +84,12 @@ def node_of(s: np.ndarray) -> int:
 
 def keys_of(s: np.ndarray) -> np.ndarray:
     """The band keys of a set that isn't empty."""
-    least = None
+    high = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for a in range(0, len(s), 1024):
-            m = ((s[None, a : a + 1024] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1)
-            least = m if least is None else np.minimum(least, m)
-        return mix((mix(least).reshape(BANDS, ROWS) * _FOLD[None, :]).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+        for a in range(0, len(s), 512):
+            least = np.minimum(least, ((high[None, a : a + 512] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
+        return mix((mix(least.astype(np.uint64)).reshape(BANDS, ROWS) * _FOLD[None, :]).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _links_of(units: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return stored(dealt.mapInArrow(_unit_links, "a long, b long"), f"{name}-links")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_nodes: int = UNIT_NODES, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``; the component is the smallest id that links lead to.
 
     Null and empty texts and texts without words have an empty set, link with nothing and are their own component. Rows
@@ -276,11 +276,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sizes = families.join(members.select("node", "n").distinct(), "node").groupBy("component").agg(F.count(F.lit(1)).alias("fcnt"), F.sum("n").alias("fweight"))
     placed = stored(nodes.join(sizes, "component"), "families")
     none = F.lit(None).cast("long")
-    small = placed.where((F.col("fcnt") <= UNIT_NODES) & (F.col("fweight") <= UNIT_SHINGLES))
+    small = placed.where((F.col("fcnt") <= unit_nodes) & (F.col("fweight") <= unit_shingles))
     links = _links_of(small.select(F.concat(F.lit("f"), "component").alias("unit"), F.lit(0).alias("side"), "node", none.alias("grp"), "rep"), source, "family")
-    large = placed.where((F.col("fcnt") > UNIT_NODES) | (F.col("fweight") > UNIT_SHINGLES)).select("node")
+    large = placed.where((F.col("fcnt") > unit_nodes) | (F.col("fweight") > unit_shingles)).select("node")
     if large.limit(1).count():
-        links = links.unionByName(_large_links(members.join(large, "node", "left_semi"), source))
+        links = links.unionByName(_large_links(members.join(large, "node", "left_semi"), source, unit_nodes, unit_shingles))
     joined = connected_components(links)
     # the smallest id of each component, from the smallest of each node
     named = reps.select("node", "rep").join(joined.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -292,17 +292,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_node.unionByName(without).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _large_links(members: DataFrame, source: DataFrame) -> DataFrame:
+def _large_links(members: DataFrame, source: DataFrame, unit_nodes: int, unit_shingles: int) -> DataFrame:
     """Links inside families beyond a unit's limits, by their buckets; see the module."""
     none = F.lit(None).cast("long")
     # buckets with the same members are one
     same = members.groupBy("key").agg(F.first("cnt").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     single = same.groupBy("c", "h", "lo", "hi").agg(F.min("key").alias("key"))
-    members = stored(members.join(single.select("key"), "key", "left_semi").withColumn("blocks", F.expr(f"greatest(ceil(cnt / {UNIT_NODES - 1}), ceil(weight / {UNIT_SHINGLES}))")), "large")
+    members = stored(members.join(single.select("key"), "key", "left_semi").withColumn("blocks", F.expr(f"greatest(ceil(cnt / {unit_nodes - 1}), ceil(weight / {unit_shingles}))")), "large")
     block = F.expr("pmod(xxhash64(node, 17), blocks)")
-    hubs = members.where("node = hub and blocks > 1").select(
-        F.concat_ws(":", F.lit("b"), "key", F.explode(F.expr("sequence(0L, blocks - 1)"))).alias("unit"), F.lit(0).alias("side"), "node", none.alias("grp"), "rep"
-    )
+    hubs = members.where("node = hub and blocks > 1").select("key", "node", "rep", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("s"))
+    hubs = hubs.select(F.concat_ws(":", F.lit("b"), "key", "s").alias("unit"), F.lit(0).alias("side"), "node", none.alias("grp"), "rep")
     rows = members.select(F.concat_ws(":", F.lit("b"), "key", block).alias("unit"), F.lit(0).alias("side"), "node", none.alias("grp"), "rep")
     first = _links_of(rows.unionByName(hubs).distinct(), source, "bucket")
     beyond = members.where("blocks > 1")
@@ -312,9 +311,11 @@ def _large_links(members: DataFrame, source: DataFrame) -> DataFrame:
     held = stored(beyond.join(parts.withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node")), "parts")
     counts = held.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key").agg(F.max_by("grp", F.struct("m", "grp")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
-    held = held.join(main, "key").withColumn("sets", F.expr(f"ceil((all - most) / {UNIT_NODES})"))
+    held = held.join(main, "key").withColumn("sets", F.expr(f"ceil((all - most) / {unit_nodes})"))
     minor = held.where("grp <> main").withColumn("t", F.expr("pmod(xxhash64(node, 19), sets)"))
-    left = minor.select(F.concat_ws(":", F.lit("x"), "key", "t", F.explode(F.expr("sequence(0L, blocks - 1)"))).alias("unit"), F.lit(0).alias("side"), "node", "grp", "rep")
+    left = minor.select("node", "grp", "rep", "key", "t", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("s")).select(
+        F.concat_ws(":", F.lit("x"), "key", "t", "s").alias("unit"), F.lit(0).alias("side"), "node", "grp", "rep"
+    )
     right = held.select("node", "grp", "rep", "key", block.alias("s"), F.explode(F.expr("sequence(0L, sets - 1)")).alias("t")).select(
         F.concat_ws(":", F.lit("x"), "key", "t", "s").alias("unit"), F.lit(1).alias("side"), "node", "grp", "rep"
     )
