@@ -90,7 +90,7 @@ def _count(tokenizer: str, chunk: int, overlap: int, limit: int):
 
             def flush() -> None:
                 nonlocal held, chars
-                for i, e in zip(held, tok.encode_batch([texts[i] for i in held], add_special_tokens=False), strict=True):
+                for i, e in zip(held, tok.encode_batch_fast([texts[i] for i in held], add_special_tokens=False), strict=True):
                     counts[i] = len(e)
                 held, chars = [], 0
 
