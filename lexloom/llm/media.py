@@ -164,15 +164,15 @@ def read_media(store: DataFrame) -> DataFrame:
     listed = store.select("row_id", F.explode("chunks").alias("c")).select("row_id", F.col("c.digest").alias("digest"), F.col("c.data").isNotNull().alias("here"))
     digests = listed.distinct()
     index = digests.where("here").groupBy("digest").agg(F.min("row_id").alias("owner"))
-    moved = stored(digests.groupBy("row_id", "digest").agg(F.max("here").alias("here")).join(index, "digest").where("owner <> row_id").select("row_id", "digest", "owner"), "media-moved")
+    moved = stored(digests.groupBy("row_id", "digest").agg(F.max("here").alias("here")).join(index.hint("merge"), "digest").where("owner <> row_id").select("row_id", "digest", "owner"), "media-moved")
     # the chunks wanted elsewhere, read from their owner's row
     owners = store.select("row_id", "chunks").join(sized(moved.select(F.col("owner").alias("row_id")).distinct()), "row_id", "left_semi")
     live = owners.select(F.col("row_id").alias("owner"), F.explode("chunks").alias("c")).where("c.data is not null").select("owner", F.col("c.digest").alias("digest"), F.col("c.data").alias("data"))
-    brought = moved.join(live, ["digest", "owner"]).groupBy("row_id").agg(F.collect_list(F.struct("digest", "data")).alias("extra"))
+    brought = moved.hint("merge").join(live, ["digest", "owner"]).groupBy("row_id").agg(F.collect_list(F.struct("digest", "data")).alias("extra"))
     rows = store.select("row_id", "doc_id", "n_bytes", "chunks")
     apart = sized(moved.select("row_id").distinct())
     # only rows that need foreign chunks are shuffled, without the copies that aren't live
-    lacking = rows.join(apart, "row_id", "left_semi").join(brought, "row_id")
+    lacking = rows.join(apart, "row_id", "left_semi").join(brought.hint("merge"), "row_id")
     whole = rows.join(apart, "row_id", "left_anti").withColumn("extra", F.lit(None).cast(_CHUNKS))
     both = whole.select("doc_id", "n_bytes", "chunks", "extra").unionByName(lacking.select("doc_id", "n_bytes", "chunks", "extra"))
     return both.mapInArrow(
