@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import table, text_or_empty, worker_cache
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -203,6 +203,7 @@ _RESULT = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("decontamination")
         automaton: Automaton = shared.value
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
@@ -296,6 +297,7 @@ def cut_spans(text: str, automaton: Automaton) -> tuple[str, float]:
 
 def _cleaner(shared, names: list[str], max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("decontamination")
         automaton: Automaton = shared.value
         at = names.index("text")
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexloom.operators.components import connected_components
 from lexloom.session import stored
 
-from .tables import sized, table, text_or_empty
+from .tables import sized, table, text_or_empty, worker_cache
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -93,6 +93,7 @@ def keys_of(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("jaccard")
     for batch in batches:
         n, nodes, keys = [], [], []
         for text in batch.column(1).to_pylist():
@@ -207,6 +208,7 @@ def join_unit(sets: list[np.ndarray], sides: list[int], groups: list[int | None]
 
 def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit; a unit at a time is held, as hashes."""
+    worker_cache("jaccard")
     unit = None
     nodes: dict[int, int] = {}
     sets: list[np.ndarray] = []

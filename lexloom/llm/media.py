@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import stored
 
-from .tables import sized, table, text_or_empty
+from .tables import sized, table, text_or_empty, worker_cache
 
 FRAME = 192
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16_384, 11
@@ -73,6 +73,7 @@ def cut(data: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits: int =
 
 
 def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("media")
     seen: set[bytes] = set()
     row = TaskContext.get().partitionId() << 33
     kind = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
@@ -175,8 +176,7 @@ def read_media(store: DataFrame) -> DataFrame:
     lacking = rows.join(apart, "row_id", "left_semi").join(brought.hint("merge"), "row_id")
     whole = rows.join(apart, "row_id", "left_anti").withColumn("extra", F.lit(None).cast(_CHUNKS))
     both = whole.select("doc_id", "n_bytes", "chunks", "extra").unionByName(lacking.select("doc_id", "n_bytes", "chunks", "extra"))
-    return both.mapInArrow(
-        _read, f"doc_id {ids}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+    return both.mapInArrow(_read, f"doc_id {ids}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     )
 
 

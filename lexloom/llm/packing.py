@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import table, text_or_empty, worker_cache
 
 SEQUENCE = 2048
 PIECE = 512
@@ -80,16 +80,6 @@ class WordEncoder:
         return ids
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(name: str) -> WordEncoder:
-    """The Python worker's encoder; its cache outlasts a task."""
-    if name not in _encoders:
-        _encoders[name] = WordEncoder(name)
-    return _encoders[name]
-
-
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """The sums and members of ``k`` windows, by largest differencing.
 
@@ -154,7 +144,7 @@ _COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_i
 
 def _packer(tokenizer: str, capacity: int, piece: int, block_windows: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = worker_cache(("packing", tokenizer), lambda: WordEncoder(tokenizer))
         end = np.array([end_id], dtype="<u4")
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []

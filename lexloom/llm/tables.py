@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +35,21 @@ def sized(ids: DataFrame) -> DataFrame:
     """``ids`` as the small side of a join: broadcast behind a check of its size, or a merge join beyond that."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(ids) if few else ids.hint("merge")
+
+
+_held: dict[Any, Any] = {}
+
+
+def worker_cache(name: Any, make: Callable[[], Any] = lambda: None) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Another name gives up what was held before, so workers that serve several operators in turn don't add up their caches.
+    """
+    if name not in _held:
+        _held.clear()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory is then returned when it likes
+            pass
+        _held[name] = make()
+    return _held[name]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import table, text_or_empty, worker_cache
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
@@ -77,7 +77,7 @@ def count_spliced(encode_starts, text: str, chunk: int = CHUNK_CHARS, overlap: i
 
 def _count(tokenizer: str, chunk: int, overlap: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer)
+        tok = worker_cache(("tokens", tokenizer), lambda: load_tokenizer(tokenizer))
 
         def starts(piece: str) -> list[int]:
             return [a for a, _ in tok.encode(piece, add_special_tokens=False).offsets]

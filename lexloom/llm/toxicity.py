@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import table, text_or_empty, worker_cache
 
 FOLDS = 5
 #: Labelled documents the classifier is fitted on, about; a seeded hash of the id picks them where there are more.
@@ -66,6 +66,7 @@ def _code_table_cached() -> np.ndarray:
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("trigrams")
     total = np.zeros(N_SYMBOLS**3, dtype=np.int64)
     for batch in batches:
         held: list[np.ndarray] = []
@@ -210,8 +211,8 @@ def fit(labels: np.ndarray, lists: list[np.ndarray]) -> tuple[dict[int, float],
     n0 = len(labels) - n1
     if not n1 or not n0:
         return {}, 0.0 if not len(labels) else (4.0 if n1 else -4.0)
-    flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     d1 = np.bincount(flat[labels[row] == 1], minlength=DIM).astype(float)
     d0 = np.bincount(flat[labels[row] == 0], minlength=DIM).astype(float)
     odds = np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n0 - d0 + 0.5))
@@ -219,7 +220,7 @@ def fit(labels: np.ndarray, lists: list[np.ndarray]) -> tuple[dict[int, float],
     z[(d1 + d0) < 3] = 0
     picked = np.sort(np.argsort(-z, kind="stable")[:PICKED])
     picked = picked[z[picked] > 3.0]
-    slot = np.full(DIM, -1)
+    slot = np.full(DIM, -1, dtype=np.int32)
     slot[picked] = np.arange(len(picked))
     use = slot[flat] >= 0
     r, c = row[use], slot[flat[use]]
@@ -253,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = chosen.mapInArrow(_featured(model), "label double, at array<int>").toArrow()
     at = got.column("at").combine_chunks()
     ends = at.offsets.to_numpy()
-    flat = at.values.to_numpy().astype(np.int64)
+    flat = at.values.to_numpy()
     lists = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     weights, b = fit(got.column("label").to_numpy(), lists)
     return model, weights, b
@@ -281,7 +282,7 @@ class Scorer:
 
 def _scored(model, weights: dict[int, float], b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, weights, b)
+        scorer = worker_cache(("toxicity", model.value.tobytes()[:4096], b), lambda: Scorer(model.value, weights, b))
         for batch in batches:
             scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -303,7 +304,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def _kept(model, weights: dict[int, float], b: float, at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, weights, b)
+        scorer = worker_cache(("toxicity", model.value.tobytes()[:4096], b), lambda: Scorer(model.value, weights, b))
         for batch in batches:
             yield batch.filter(pa.array([t is None or scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
