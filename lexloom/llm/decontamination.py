@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty, worker_cache
+from .tables import arrow_map, table, text_or_empty, worker_cache
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -248,10 +248,10 @@ def find_leaks(
     second = next(blocks, None)
     if second is None:
         scan = _scanner(spark.sparkContext.broadcast(Automaton(first, window)))
-        return rows.mapInArrow(scan, f"doc_id {ids}, {_RESULT}")
+        return arrow_map(rows, scan, f"doc_id {ids}, {_RESULT}")
     for block in (first, second, *blocks):
         scan = _scanner(spark.sparkContext.broadcast(Automaton(block, window)))
-        passes.append(keyed.mapInArrow(scan, f"doc_id struct<doc_id:{ids},d:string>, {_RESULT}"))
+        passes.append(arrow_map(keyed, scan, f"doc_id struct<doc_id:{ids},d:string>, {_RESULT}"))
     some = passes[0]
     for more in passes[1:]:
         some = some.unionByName(more)
@@ -321,7 +321,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     spark = docs.sparkSession
     for block in blocks_of(benchmark, "item_id", "text", block_words):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        docs = docs.mapInArrow(_cleaner(shared, docs.columns, max_coverage), docs.schema)
+        docs = arrow_map(docs, _cleaner(shared, docs.columns, max_coverage), docs.schema)
     return docs
 
 

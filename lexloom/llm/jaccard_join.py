@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexloom.operators.components import connected_components
 from lexloom.session import stored
 
-from .tables import sized, table, text_or_empty, worker_cache
+from .tables import arrow_map, sized, table, text_or_empty, worker_cache
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -255,7 +255,7 @@ def _links_of(units: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     needed = docs.join(sized(units.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
     rows = needed.join(units.withColumnRenamed("rep", "_id"), "_id").select("unit", "side", "node", "grp", "text")
     dealt = rows.repartition("unit").sortWithinPartitions("unit", "node")
-    return stored(dealt.mapInArrow(_unit_links, "a long, b long"), f"{name}-links")
+    return stored(arrow_map(dealt, _unit_links, "a long, b long"), f"{name}-links")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_nodes: int = UNIT_NODES, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
@@ -267,7 +267,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
-    signed = stored(source.mapInArrow(_signed, f"doc_id {ids}, n long, node long, keys array<long>"), "sets")
+    signed = stored(arrow_map(source, _signed, f"doc_id {ids}, n long, node long, keys array<long>"), "sets")
     known = signed.where("node is not null and doc_id is not null")
     reps = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     listed = reps.select("node", "rep", "n", F.explode("keys").alias("key"))

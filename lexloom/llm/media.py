@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import stored
 
-from .tables import sized, table, text_or_empty, worker_cache
+from .tables import arrow_map, sized, table, text_or_empty, worker_cache
 
 FRAME = 192
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16_384, 11
@@ -156,7 +156,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return stored(rows.mapInArrow(_append, f"row_id long, doc_id {ids}, n_bytes long, chunks {_CHUNKS}"), "media")
+    return stored(arrow_map(rows, _append, f"row_id long, doc_id {ids}, n_bytes long, chunks {_CHUNKS}"), "media")
 
 
 def read_media(store: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read_media(store: DataFrame) -> DataFrame:
     lacking = rows.join(apart, "row_id", "left_semi").join(brought.hint("merge"), "row_id")
     whole = rows.join(apart, "row_id", "left_anti").withColumn("extra", F.lit(None).cast(_CHUNKS))
     both = whole.select("doc_id", "n_bytes", "chunks", "extra").unionByName(lacking.select("doc_id", "n_bytes", "chunks", "extra"))
-    return both.mapInArrow(_read, f"doc_id {ids}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+    return arrow_map(both, _read, f"doc_id {ids}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     )
 
 

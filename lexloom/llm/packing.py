@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty, worker_cache
+from .tables import arrow_map, table, text_or_empty, worker_cache
 
 SEQUENCE = 2048
 PIECE = 512
@@ -212,7 +212,7 @@ def pack(
     """
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, capacity, piece, block_windows, end_id), f"doc_id {ids}, {_COLUMNS}")
+    return arrow_map(rows, _packer(tokenizer, capacity, piece, block_windows, end_id), f"doc_id {ids}, {_COLUMNS}")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import arrow_map, table, text_or_empty
 
 LABELLERS = ("length", "word_length", "letters", "variety", "repeated_lines", "symbols", "capitals", "breaks", "echoes")
 #: Documents the scorer is fitted on, about; a seeded hash of id and text length picks them where there are more.
@@ -189,21 +189,21 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRA
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    counted = rows.select("text").mapInArrow(_voting, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counted = arrow_map(rows.select("text"), _voting, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = {r["pattern"]: r["n"] for r in counted}
     _, _, posterior = estimate(patterns)
     n = sum(patterns.values())
     sample = rows
     if n > train_rows:
         sample = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
-    got = sample.select("text").mapInArrow(_featured(posterior), "y double, at array<int>, x array<float>").toArrow()
+    got = arrow_map(sample.select("text"), _featured(posterior), "y double, at array<int>, x array<float>").toArrow()
     at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
     ends = at.offsets.to_numpy()
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     weights, b = fit(got.column("y").to_numpy(), row, at.values.to_numpy(), x.values.to_numpy())
     shared = spark.sparkContext.broadcast((weights.astype(np.float32), b, posterior, threshold))
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
-    return rows.mapInArrow(_judged(shared), f"doc_id {ids}, votes string, posterior double, score double, keep boolean")
+    return arrow_map(rows, _judged(shared), f"doc_id {ids}, votes string, posterior double, score double, keep boolean")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +54,15 @@ def worker_cache(name: Any, make: Callable[[], Any] = lambda: None) -> Any:
             pass
         _held[name] = make()
     return _held[name]
+
+
+#: Rows of an Arrow batch: with texts of some thousand bytes a batch stays at some MB on either side of the pipe.
+BATCH_ROWS = 1_024
+
+
+def arrow_map(rows: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a smaller setting of the session stays)."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)

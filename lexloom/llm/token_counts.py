@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty, worker_cache
+from .tables import arrow_map, table, text_or_empty, worker_cache
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
@@ -128,7 +128,7 @@ def count_tokens(
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(_count(tokenizer, chunk, overlap, limit), f"doc_id {ids}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(rows, _count(tokenizer, chunk, overlap, limit), f"doc_id {ids}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty, worker_cache
+from .tables import arrow_map, table, text_or_empty, worker_cache
 
 FOLDS = 5
 #: Labelled documents the classifier is fitted on, about; a seeded hash of the id picks them where there are more.
@@ -86,7 +86,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities ``[a, b, c]`` of a symbol after two others, from all documents; at most ``N_SYMBOLS ** 3`` rows reach the driver."""
-    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = arrow_map(docs.select(text_or_empty(text_col).alias("text")), _count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     three = np.zeros(N_SYMBOLS**3)
     for row in counts.collect():
         three[row["code"]] = row["n"]
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > rows:
         sample = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
     chosen = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "_id").select("label", "text")
-    got = chosen.mapInArrow(_featured(model), "label double, at array<int>").toArrow()
+    got = arrow_map(chosen, _featured(model), "label double, at array<int>").toArrow()
     at = got.column("at").combine_chunks()
     ends = at.offsets.to_numpy()
     flat = at.values.to_numpy()
@@ -299,7 +299,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model, weights, b = train(docs, labels, id_col, text_col, label_col)
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(_scored(model, weights, b), f"doc_id {ids}, held_out boolean, score double, predicted int")
+    return arrow_map(rows, _scored(model, weights, b), f"doc_id {ids}, held_out boolean, score double, predicted int")
 
 
 def _kept(model, weights: dict[int, float], b: float, at: int, threshold: float):
@@ -314,7 +314,7 @@ def _kept(model, weights: dict[int, float], b: float, at: int, threshold: float)
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; null texts stay."""
     model, weights, b = train(docs, labels)
-    return docs.mapInArrow(_kept(model, weights, b, docs.columns.index("text"), threshold), docs.schema)
+    return arrow_map(docs, _kept(model, weights, b, docs.columns.index("text"), threshold), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
