@@ -25,7 +25,7 @@ from .tables import arrow_map, table, text_or_empty, worker_cache
 FOLDS = 5
 #: Labelled documents the classifier is fitted on, about; a seeded hash of the id picks them where there are more.
 TRAIN_ROWS = 12_000
-DIM = 1 << 20
+DIM = 1 << 19
 PICKED = 4_096
 CACHE_WORDS = 250_000
 SEGMENT = 1 << 20
