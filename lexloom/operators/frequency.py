@@ -19,9 +19,9 @@ def top(counts: DataFrame, k: int, keys: Sequence[str] = (), name: str = "gram")
     """The ``k`` most frequent of each key with their rank; ties by the term."""
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc(name))
     if keys:
-        return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     few = counts.orderBy(F.desc("n"), F.asc(name)).limit(k)  # at most k rows reach the window
-    return few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(name))))
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(name))).cast("long"))
 
 
 def combination_weight(a: Column, g: Column, skip: int) -> Column:
@@ -70,7 +70,7 @@ def kwic(rows: DataFrame, keys: Sequence[str], tk: Column, phrase: Sequence[str]
     n = len(phrase)
     return at.select(
         *keys,
-        (F.col("at") - 1).alias("pos"),
+        (F.col("at") - 1).cast("long").alias("pos"),
         F.array_join(tx.left_of(F.col("tk"), F.col("at"), w), " ").alias("left_context"),
         F.array_join(F.slice("tk", F.col("at"), F.lit(n)), " ").alias("keyword"),
         F.array_join(tx.right_of(F.col("tk"), F.col("at"), n, w), " ").alias("right_context"),

@@ -131,7 +131,7 @@ def kwic_raw(spark, d):
     bare = F.transform("tk", lambda t: F.lower(F.btrim(t, F.lit(".,;:!?\"'()[]{}"))))
     at = held.select("doc_id", "tk", F.posexplode(bare).alias("pos", "bare")).where("bare = 'rest'")
     low = F.greatest(F.col("pos") - 7, F.lit(1))
-    return at.select("doc_id", "pos", F.element_at("tk", F.col("pos") + 1).alias("keyword"), F.array_join(F.slice("tk", low, F.col("pos") + 10 - low), " ").alias("full_context"))
+    return at.select("doc_id", F.col("pos").cast("long").alias("pos"), F.element_at("tk", F.col("pos") + 1).alias("keyword"), F.array_join(F.slice("tk", low, F.col("pos") + 10 - low), " ").alias("full_context"))
 
 
 @query("kwic_hit_counts", f"""
@@ -164,7 +164,7 @@ select doc_id, n_tokens, hits, 100.0 * hits / greatest(n_tokens, 1) as density f
 def density_features(spark, d):
     held = docs(spark, d).select("doc_id", tx.tokens_apostrophe(F.col("text")).alias("w"))
     hits = F.size(F.filter("w", lambda t: F.lower(t).isin("i", "me", "my", "on", "he")))
-    return held.select("doc_id", F.size("w").alias("n_tokens"), hits.alias("hits"), (F.lit(100.0) * hits / F.greatest(F.size("w"), F.lit(1))).alias("density"))
+    return held.select("doc_id", F.size("w").cast("long").alias("n_tokens"), hits.cast("long").alias("hits"), (F.lit(100.0) * hits / F.greatest(F.size("w"), F.lit(1))).alias("density"))
 
 
 TERMS = ("rest", "license", "apache license", "the", "erra")
@@ -198,7 +198,7 @@ def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"))
 
 
-@query("artefact_counters", r"""select source, sum(len(regexp_extract_all(text, '[#$%&*]{3}'))) as sign_runs, sum(len(regexp_extract_all(lower(text), 'license'))) as license, sum(len(regexp_extract_all(text, '[0-9]+'))) as numbers from documents group by source""")
+@query("artefact_counters", r"""select source, cast(sum(len(regexp_extract_all(text, '[#$%&*]{3}'))) as bigint) as sign_runs, cast(sum(len(regexp_extract_all(lower(text), 'license'))) as bigint) as license, cast(sum(len(regexp_extract_all(text, '[0-9]+'))) as bigint) as numbers from documents group by source""")
 def artefact_counters(spark, d):
     count = lambda c, p: F.sum(F.regexp_count(c, F.lit(p))).alias
     return docs(spark, d).groupBy("source").agg(count(F.col("text"), "[#$%&*]{3}")("sign_runs"), count(F.lower("text"), "license")("license"), count(F.col("text"), "[0-9]+")("numbers"))
