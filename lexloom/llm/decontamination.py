@@ -277,22 +277,27 @@ def find_leaks(
 
 
 def cut_spans(text: str, automaton: Automaton) -> tuple[str, float]:
-    """The text without its hit words, and the share of its words that were hit.
+    """The text without its hit words, and the share of its words that went.
 
-    From the first to the last word of a run everything goes, what lies between the words included.
+    From the first to the last word of a run everything goes, what lies between the words included. What a cut brings
+    together is looked at again, until nothing is hit.
     """
     raw = text.encode("utf-8", "surrogatepass")
-    folded = raw.translate(_FOLD)
-    hits, _ = automaton.scan(folded.split())
-    if not hits:
-        return text, 0.0
-    places = [m.span() for m in _WORD.finditer(folded)]
-    out, at = [], 0
-    for a, b in hits:
-        out.append(raw[at : places[a][0]])
-        at = places[b - 1][1]
-    out.append(raw[at:])
-    return b"".join(out).decode("utf-8", "surrogatepass"), sum(b - a for a, b in hits) / len(places)
+    words = gone = 0
+    while True:
+        folded = raw.translate(_FOLD)
+        hits, _ = automaton.scan(folded.split())
+        if not hits:
+            break
+        places = [m.span() for m in _WORD.finditer(folded)]
+        words = words or len(places)
+        out, at = [], 0
+        for a, b in hits:
+            out.append(raw[at : places[a][0]])
+            at = places[b - 1][1]
+            gone += b - a
+        raw = b"".join([*out, raw[at:]])
+    return (raw.decode("utf-8", "surrogatepass"), gone / words) if gone else (text, 0.0)
 
 
 def _cleaner(shared, names: list[str], max_coverage: float):

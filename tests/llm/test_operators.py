@@ -1,0 +1,329 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from lexloom.llm import decontamination, media, packing, pii, quality, sharding, token_counts, toxicity, url_filter
+from lexloom.llm.tables import table  # noqa: F401
+
+# columns that clash with names the operators use inside
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, chunks string, _t string, score string, label string, _id string, shard string"
+
+
+def frame(spark, rows, sources=None):
+    return spark.createDataFrame([(d, t, "en", (sources or {}).get(d, "s"), len(t or ""), "a", "b", "c", "d", "e", "f", "g") for d, t in rows], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(("the", "wording", "Über", "naïve", "日本", "x1", "don't", "and,", "end.\nNew", "12", "émile")) + rng.choice(("", "", "ly", "!")) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(7)
+    out = [(i, prose(rng, rng.randrange(1, 60))) for i in range(40)]
+    out += [(100, None), (101, ""), (102, " \n\t "), (103, out[0][1]), (103, out[0][1]), (None, "null id here"), (104, "long " * 9000), (105, "a" * 5000), (106, "x <|endoftext|> y<|endoftext|>")]
+    out += [(107, prose(rng, 20000)), (108, "ΣΑΣ ΟΔΟΣ\x1cfoo\x1f bar e\u0301\u0301 İstanbul")]
+    return out
+
+
+def text_of(t):
+    return t or ""
+
+
+def test_token_counts(spark, rows):
+    tok = token_counts.load_tokenizer("byte_bpe_50k.json")
+    want = sorted((-1 if d is None else d, len(text_of(t).encode()), n := len(tok.encode(text_of(t), add_special_tokens=False)), n > 1024) for d, t in rows)
+    for chunk, overlap in ((65_536, 1_024), (400, 20), (64, 4)):
+        got = token_counts.count_tokens(frame(spark, rows), chunk=chunk, overlap=overlap).collect()
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
+
+
+def test_splice_widens_until_a_proven_boundary():
+    tok = token_counts.load_tokenizer("byte_bpe_50k.json")
+    starts = lambda p: [a for a, _ in tok.encode(p, add_special_tokens=False).offsets]
+    for text in ("x" * 3000 + " end", " " * 4000 + "a", "日本語" * 900 + " \n\n é", "word\u00a0\u00a0 two \n" * 300):
+        assert token_counts.count_spliced(starts, text, 100, 3) == len(tok.encode(text, add_special_tokens=False))
+
+
+def test_packing(spark, rows):
+    tok = packing.WordEncoder("word_bpe_49k.json").tok
+    ids = [(d, [*tok.encode(text_of(t), add_special_tokens=False).ids, 1]) for d, t in rows]
+    got = packing.pack(frame(spark, rows).coalesce(1)).collect()
+    by_seq = defaultdict(list)
+    for r in got:
+        by_seq[r["sequence_id"]].append(r)
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert 0 < at <= 2048
+    assert len(by_seq) <= -(-sum(len(x) for _, x in ids) // 2048) + 2
+    want, have = Counter(), Counter()
+    for d, x in ids:
+        for r in [r for r in got if r["doc_id"] == d and r["doc_tokens"] == len(x)]:
+            part = x[r["start"] : r["start"] + r["length"]]
+            if zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) == r["ids_crc32"]:
+                have[(d, tuple(x))] += r["length"]
+        want[(d, tuple(x))] += len(x)
+    for k, n in want.items():
+        copies = sum(1 for d, x in ids if (d, tuple(x)) == k)
+        assert have[k] == n * copies
+
+
+def test_differencing_and_rising_window_count():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.randrange(1, 500) for _ in range(rng.randrange(1, 60))]
+        members = packing.windows(sizes, 512)
+        assert sorted(i for m in members for i in m) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in m) <= 512 for m in members)
+    loads, _ = packing.differencing([8, 7, 6, 5, 4], 2)
+    assert sorted(loads) == [14, 16]
+    assert packing.windows([300, 300, 300], 512) == [[0], [1], [2]] or len(packing.windows([300, 300, 300], 512)) == 3
+
+
+def pii_brute(text):
+    spans = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        spans.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group(0).split(".")):
+            spans.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group(0) if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(d))) % 10 == 0:
+            spans.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m.group(0)) <= 15:
+            spans.append((m.start(), 3, m.end(), "phone"))
+    return sorted(spans)
+
+
+def pii_rows():
+    rng = random.Random(11)
+    parts = ["a.b@c.d", "a@b.c%d@e.f-g.h", "x@y..z", "@a.b", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "010.000.0255.9", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+49.30 1234567",
+             "+12", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82WEST12345698765433", "日本", "😀", "é", " ", "\n", "call ", "7", "1 2 3", ".", "-", "4111111111111111@x.com"]
+    out = [(i, "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(0, 30)))) for i in range(150)]
+    out += [(900, None), (901, ""), (None, "a@b.c"), (902, "9" * 30000), (903, "a" * 60000 + "@b.c"), (904, " ".join("a@b.c +1 555 010 9999" for _ in range(700)))]
+    return out + [out[3], (905, "1.2.3." * 3000), (906, "日" * 9000 + " a@b.c " + "😀" * 5000 + "4111111111111111")]
+
+
+def test_pii_base_spans_and_redaction(spark):
+    rows = pii_rows()
+    got = pii.find_pii(frame(spark, rows)).collect()
+    want = []
+    for d, t in rows:
+        s = pii_brute(text_of(t))
+        n = Counter(x[3] for x in s)
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in s)
+        want.append((-1 if d is None else d, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(base.encode()).hexdigest()))
+    assert sorted((-1 if r[0] is None else r[0], *r[1:6]) for r in got) == sorted(want)
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}
+    for d, t in rows:
+        if t is None:
+            assert clean[d] is None
+            continue
+        runs = []
+        for x in filter(None, spans[d].split(",")):
+            k, a, b = x.split(":")
+            if runs and int(a) < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], int(b))
+            else:
+                runs.append([int(a), int(b), k])
+        out, at = [], 0
+        for a, b, k in runs:
+            out += [t[at:a], f"[{k.upper()}]"]
+            at = b
+        assert clean[d] == "".join([*out, t[at:]])
+
+
+def test_pii_iban_needs_its_checksum_and_context_moves_the_score(spark):
+    got = {r["doc_id"]: r for r in pii.find_pii(frame(spark, [(1, "iban GB82WEST12345698765432"), (2, "GB82WEST12345698765433"), (3, "order 4111111111111111"), (4, "card 4111111111111111")])).collect()}
+    assert got[1]["spans"] == "iban:5:27" and got[1]["scores"] == "1.00"
+    assert got[2]["spans"] == ""
+    assert float(got[3]["scores"]) < float(got[4]["scores"])
+    assert pii.redact(frame(spark, [])).collect() == []
+
+
+def bench(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def leaks_brute(rows, items, window):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        hit, found = set(), set()
+        for i, x in items:
+            v = words(x)
+            n = min(window, len(v))
+            grams = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)} if v else set()
+            for j in range(len(w) - n + 1):
+                if n and tuple(w[j : j + n]) in grams:
+                    hit |= set(range(j, j + n))
+                    found.add(str(i))
+        out.append((-1 if d is None else d, len(w), len(hit), sorted(found)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [400_000, 15])
+def test_decontamination(spark, block):
+    rng = random.Random(5)
+    vocab = ["a", "b", "C", "d1", "é", "日本"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((1, 3, 6, 9, 14))))) for i in range(2, 14)]
+    items += [(0, None), (1, ""), (20, "..."), (21, items[3][1])]
+    items = [x for x in items if x[0] not in (5,)] + [(30, "zz zz zz")]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(100, None), (101, ""), (None, items[2][1]), (102, "zz, ZZ. zz-zz"), (102, "zz, ZZ. zz-zz")]
+    got = decontamination.find_leaks(frame(spark, rows), bench(spark, items), window=5, block_words=block).collect()
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), list(r["items"])) for r in got)
+    assert have == leaks_brute(rows, items, 5)
+
+
+def test_decontamination_without_items_and_removal(spark):
+    rows = [(1, "Keep this. One, two three four five six seven eight nine ten! And this and so on and on for long."), (4, "but one two three four five one two three four five six seven eight nine ten six seven eight nine ten " + "more words to keep here " * 6), (2, None), (3, "one two three four five six seven eight nine ten")]
+    items = bench(spark, [(1, "one two three four five six seven eight nine ten")])
+    assert {r["spans"] == [] for r in decontamination.find_leaks(frame(spark, rows), items.limit(0)).collect()} == {True}
+    left = {r["doc_id"]: r["text"] for r in decontamination.remove_leaks(frame(spark, rows), items).collect()}
+    assert left == {1: "Keep this. ! And this and so on and on for long.", 2: None, 4: "but  " + "more words to keep here " * 6}
+
+
+def test_media_round_trip(spark, rows):
+    got = media.read_media(media.store_media(frame(spark, rows).repartition(3))).collect()
+    want = []
+    for d, t in rows:
+        raw = text_of(t).encode()
+        p = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        want.append((-1 if d is None else d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    assert sorted((-1 if r[0] is None else r[0], *r[1:5]) for r in got) == sorted(want)
+    by = defaultdict(set)
+    for r in got:
+        by[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in by.values())
+    assert media.read_media(media.store_media(frame(spark, []))).collect() == []
+
+
+def test_chunks_survive_edits_and_rebuild():
+    rng = random.Random(2)
+    data = bytes(rng.randrange(256) for _ in range(200_000))
+    whole = media.cut(data)
+    assert b"".join(whole) == data and all(len(c) <= media.MAX_CHUNK for c in whole) and media.cut(data, segment=5_000) == whole
+    edited = media.cut(data[:90_000] + b"!" + data[90_000:])
+    assert len(set(whole) & set(edited)) >= len(whole) - 4
+
+
+def test_sharding(spark, rows):
+    big = [(i, "x" * (i % 7)) for i in range(1000, 1700)] + rows
+    src = {i: "hot" if i % 3 == 0 else f"s{i % 5}" for i in range(1000, 1700)} | {1001: None}
+    got = sharding.interleave(frame(spark, big, src)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len(text_of(t).encode()) + 1, zlib.crc32(text_of(t).encode())) for d, t in big)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    sizes = [len(by[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    for s, part in by.items():
+        assert sorted(r["slot"] for r in part) == list(range(len(part)))
+    hot = {i for i in src if src[i] == "hot"}
+    shares = [sum(r["doc_id"] in hot for r in by[s]) for s in range(16)]
+    assert max(shares) - min(shares) <= 2
+    assert sharding.interleave(frame(spark, [])).collect() == []
+    again = {(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in sharding.interleave(frame(spark, big, src).repartition(5)).collect()}
+    assert again == {(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got}
+
+
+def url_brute(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group(0)
+    path = re.match(r"[^?#]*", rest[len(host) :]).group(0)
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, None, None))
+    return host, path, best[1], best[2]
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/1?x=/y#z", "https://www.example.com/en/2", "https://sub.www.example.com/en/2", "http://x.net/es/", "http://net/fr/1", "http://xnet/fr/1", "http://b.org#frag",
+            "http://b.org?q=1/2", "ftp://é.net/es/é", "http://example.com", "http://a.com:80/en/", "http://cheap-pills.org/x", "http://library.org/en/5", "http://a://b.net/es/", "http://x.net/es/\nnext", "http://www.example.com/de/"]
+    rows = spark.createDataFrame([(i, u, "h", "r", "p") for i, u in enumerate(urls)] + [(None, "http://x.net/es/", "h", "r", "p")], "page_id long, url string, host string, rule string, path string")
+    got = url_filter.judge(rows, url_filter.training_table(spark)).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        host, path, rule, verdict = url_brute(urls[r["page_id"]] if r["page_id"] is not None else "http://x.net/es/")
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+    by = {r["page_id"]: r["verdict"] for r in got}
+    assert by[15] == "block" and by[16] == "allow"
+    assert url_filter.judge(rows.limit(0), url_filter.training_table(spark)).collect() == []
+    assert url_filter.judge(rows, url_filter.training_table(spark).limit(0)).count() == len(urls) + 1
+
+
+def toxic_rows():
+    rng = random.Random(9)
+    clean = ["garden", "river", "stone", "window", "little", "morning", "paper", "yellow", "table", "quiet", "walking", "summer"]
+    rows, labels = [], []
+    for i in range(600):
+        w = [rng.choice(clean) for _ in range(rng.randrange(10, 40))]
+        bad = i % 4 == 0
+        if bad:
+            w[rng.randrange(len(w))] = rng.choice(("stupid", "idiot", "moron"))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_toxicity(spark):
+    rows, labels = toxic_rows()
+    extra = [(1000, "garden river 1d10t stone"), (1001, "stone s t u p i d table"), (1002, "river stuuuupid quiet"), (1003, None), (1004, ""), (None, "garden stone"), (1005, "quiet $tup1d paper"), (1006, "paper 2024 table 3rd x2"), (0, rows[0][1])]
+    lab = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(frame(spark, rows + extra), lab).collect()
+    assert len(got) == len(rows) + len(extra)
+    by = {r["doc_id"]: r for r in got}
+    wrong = [i for i, _, t in labels if by[i]["held_out"] and by[i]["predicted"] != t]
+    assert not wrong and any(by[i]["held_out"] for i, _, _ in labels)
+    assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
+    assert [by[i]["predicted"] for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006)] == [1, 1, 1, 0, 0, 1, 0]
+    kept = toxicity.reject_toxic(frame(spark, rows + extra), lab)
+    assert kept.columns == frame(spark, []).columns
+    assert {r["doc_id"] for r in kept.collect()} >= {1003, 1004, 1006, None}
+    none = toxicity.score_toxicity(frame(spark, rows[:3]), lab.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert toxicity.score_toxicity(frame(spark, []), lab).collect() == []
+
+
+def test_quality(spark, rows):
+    rng = random.Random(4)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    good = [(1000 + i, ". ".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(12))) for i in range(120)]
+    junk = [(2000 + i, " ".join(rng.choice(words) + "$$$ ###" for _ in range(100))) for i in range(25)] + [(2100 + i, "Spam spam. " * 80) for i in range(20)]
+    got = quality.judge_quality(frame(spark, good + junk + rows)).collect()
+    assert len(got) == len(good) + len(junk) + len(rows)
+    keep = {r["doc_id"]: r["keep"] for r in got}
+    assert sum(keep[d] for d, _ in good) >= 115
+    assert sum(keep[d] for d, _ in junk[:25]) <= 2
+    assert all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 for r in got)
+    assert quality.judge_quality(frame(spark, [])).collect() == []
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    rng = random.Random(1)
+    k = len(quality.LABELLERS)
+    counts = Counter()
+    for _ in range(20000):
+        y = rng.random() < 0.8
+        counts["".join("-" if rng.random() < 0.2 else ("g" if (y if rng.random() < 0.7 + 0.03 * j else not y) else "b") for j in range(k))] += 1
+    share, cond, post = quality.estimate(dict(counts))
+    assert abs(share - 0.8) < 0.03
+    for j in range(k):
+        assert abs(cond[1, j, 1] / (cond[1, j, 1] + cond[1, j, 2]) - (0.7 + 0.03 * j)) < 0.03
+    assert post["g" * k] > 0.99
