@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .tables import arrow_map, table, text_or_empty
 
-LABELLERS = ("length", "word_length", "letters", "variety", "repeated_lines", "symbols", "capitals", "breaks", "echoes")
+LABELLERS = ("length", "word_length", "letters", "variety", "repeated_lines", "symbols", "capitals", "breaks", "echoes", "marks", "density")
 #: Documents the scorer is fitted on, about; a seeded hash of id and text length picks them where there are more.
 TRAIN_ROWS = 12_000
 DIM = 1 << 16
@@ -31,6 +31,7 @@ ROUNDS = 100
 
 _LETTER = bytes(1 if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256))
 _SIGN = re.compile(r"[#$%&*<>{}\[\]|\\~^=_@]")
+_MARKS = re.compile(r"[#$%&*<>{}\[\]|\\~^=_@]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1"))
 
 
@@ -52,6 +53,8 @@ def votes(text: str) -> str:
     variety = len(set(words)) / n
     signs = len(_SIGN.findall(text)) / n
     capitals = sum(w[0].isupper() and w[-1].isupper() and len(w) > 1 for w in words) / n
+    marks = len(_MARKS.findall(text)) / n
+    density = len(zlib.compress(raw, 1)) / len(raw)  # repeated passages of any length make it small
     echoes = sum(map(eq, words, words[1:])) / n
     short = n < 20
     return "".join(
@@ -59,12 +62,14 @@ def votes(text: str) -> str:
             _vote(n, 3, 40),
             "-" if short else "b" if mean < 2.5 or mean > 12 else "g" if 3.5 <= mean <= 9 else "-",
             _vote(letters, 0.75, 0.93),
-            "-" if n < 50 else _vote(variety, 0.2, 0.4),
+            "-" if n < 50 else _vote(variety, 0.25, 0.4),
             "-" if len(lines) < 3 else "b" if repeated > 0.3 else "g" if repeated == 0 else "-",
             "b" if signs > 0.15 else "g" if signs < 0.03 else "-",
             "b" if capitals > 0.2 else "g" if capitals < 0.05 else "-",
             "-" if n < 50 else "b" if len(lines) > n / 3 else "g" if len(lines) < n / 6 else "-",
             "-" if short else "b" if echoes > 0.05 else "g" if echoes < 0.01 else "-",
+            "b" if marks > 0.1 else "g" if marks < 0.02 else "-",
+            "-" if n < 50 else "b" if density < 0.25 else "g" if density >= 0.35 else "-",
         )
     )
 
@@ -72,7 +77,7 @@ def votes(text: str) -> str:
 def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, np.ndarray, dict[str, float]]:
     """``(share of good, table [class, labeller, vote], posterior of good per pattern)`` by expectation-maximisation.
 
-    Votes are taken as independent given the class. It starts from the share of good among each pattern's votes; smoothing
+    Votes are taken as independent given the class; where a labeller doesn't vote it has no say. It starts from the share of good among each pattern's votes; smoothing
     keeps every probability inside (0, 1). Class 1 is the one the majority of votes calls good.
     """
     if not patterns:
@@ -88,7 +93,8 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, np.
         for c, p in ((1, post), (0, 1 - post)):
             for j in range(k):
                 n = np.bincount(votes_at[:, j], weights=weight * p, minlength=3) + 0.5
-                cond[c, j] = n / n.sum()
+                cond[c, j] = n / n[1:].sum()
+                cond[c, j, 0] = 1.0  # not voting says nothing about the class
         share = float((weight * post).sum() + 1) / float(weight.sum() + 2)
         logit = math.log(share / (1 - share)) + sum(np.log(cond[1, j, votes_at[:, j]] / cond[0, j, votes_at[:, j]]) for j in range(k))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
