@@ -51,6 +51,7 @@ class WordEncoder:
         self.limit = cache_words
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
+        self.ends = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers.
@@ -64,16 +65,25 @@ class WordEncoder:
         fresh = self.fresh
         new = [w for w in set(words) if w not in fresh]
         if new:
-            aged, missing = self.aged, []
+            aged, missing, ended = self.aged, [], []
             for w in new:
-                if (known := aged.get(w)) is None:
-                    missing.append(w)
-                else:
+                if (known := aged.get(w)) is not None:
                     fresh[w] = known
+                elif w[-1] in self.ends and w[:-1].isalpha() and max(w) < "ɐ":
+                    ended.append(w)  # Latin letters and one sign: always two pre-tokens
+                    if (core := w[:-1]) not in fresh:
+                        if (known := aged.get(core)) is None:
+                            missing.append(core)
+                        else:
+                            fresh[core] = known
+                else:
+                    missing.append(w)
             for i in range(0, len(missing), 20_000):
                 part = missing[i : i + 20_000]
                 for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     fresh[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w in ended:
+                fresh[w] = fresh[w[:-1]] + self.ends[w[-1]]
         ids = np.frombuffer(b"".join(map(fresh.__getitem__, words)), dtype="<u4")
         if len(fresh) > self.limit:
             self.aged, self.fresh = fresh, {}
