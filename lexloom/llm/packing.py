@@ -30,7 +30,7 @@ PIECE = 512
 BLOCK_WINDOWS = 128
 END_ID = 1
 #: Words in each of the two generations of an encoder's cache.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
 #: These count as white space for Python's split but not for the tokenizer's pattern.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
