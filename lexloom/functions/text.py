@@ -20,6 +20,11 @@ def words(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value held by a lambda, so it is made once even where the optimizer puts its expression into inner lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_urls(text: Column) -> Column:
     """URLs, bare www addresses and markdown links become a space."""
     return F.regexp_replace(text, URL, " ")
@@ -59,10 +64,41 @@ def tokens_space(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r]+"), lambda t: t != "")
 
 
+def tokens_treebank(text: Column, words_only: bool = False) -> Column:
+    """Contractions and punctuation split off, in lower case; tokens with a letter or digit, or only words that may hold hyphens.
+
+    An approximation by rules: quotes and abbreviations aren't told apart.
+    """
+    out = F.regexp_replace(F.lower(text), r"([a-z])n't([^a-z]|$)", "$1 n't$2")
+    out = F.regexp_replace(out, r"([a-z])('ll|'re|'ve|'s|'m|'d)([^a-z]|$)", "$1 $2$3")
+    out = F.regexp_replace(out, r'([.,;:!?"()\[\]{}<>&@#$%*])', " $1 ")
+    keep = "^[a-z][a-z-]*$" if words_only else "[a-z0-9]"
+    return F.filter(F.split(out, r"[ \t\n\r]+"), lambda t: t.rlike(keep))
+
+
+def tokens_social(text: Column) -> Column:
+    """Hashtags, numbers, words and pictographs of the blocks from U+1F300 to U+1FAFF."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"#[a-z0-9_]+|[0-9]+|[a-z]+|[\x{1F300}-\x{1FAFF}]"), F.lit(0))
+
+
+def anchor_token(seed: Column, function_words: Sequence[str] = ("a", "the", "to", "you")) -> Column:
+    """The last token of a seed that isn't a function word."""
+    return F.try_element_at(F.filter(F.split(seed, " "), lambda t: ~t.isin(*function_words)), F.lit(-1))
+
+
+def has_code_block(text: Column) -> Column:
+    """A fence, or two indented lines in a row."""
+    return F.contains(text, F.lit("```")) | text.rlike(r"(?m)^    .*\n    ")
+
+
+def hashed_terms(tk: Column) -> Column:
+    """``(slot, value)`` in 256 slots by the first byte of a term's md5: a sparse embedding that needs no model."""
+    return F.transform(tk, lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int"))
+
+
 def without(tk: Column, stops: Sequence[str] = STOPS) -> Column:
     """Keeps repeated tokens, unlike a set difference."""
-    listed = words(stops)
-    return F.filter(tk, lambda t: ~F.array_contains(listed, t))
+    return F.filter(tk, lambda t: ~t.isin(*stops))
 
 
 def lemmas(tk: Column, dictionary: Column) -> Column:
@@ -88,8 +124,22 @@ def skipgrams(tk: Column, gaps: Sequence[int], glue: str = " ") -> Column:
 def phrase_starts(tk: Column, phrase: Sequence[str]) -> Column:
     """1-based places where a phrase begins."""
     n = len(phrase)
-    starts = F.when(F.size(tk) >= n, F.sequence(F.lit(1), F.size(tk) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.filter(starts, lambda i: F.slice(tk, i, n) == words(phrase))
+
+    def starts(t: Column) -> Column:
+        first = F.filter(F.transform(t, lambda w, i: F.when(w == phrase[0], i + 1)), lambda i: i.isNotNull())
+        return F.filter(first, lambda i: F.slice(t, i, n) == words(phrase)) if n > 1 else first
+
+    return let(tk, starts)
+
+
+def around_phrase(tk: Column, phrase: Sequence[str], w: int) -> Column:
+    """``(at, left, right)`` for each occurrence of a phrase: small slices, so what is exploded afterwards doesn't carry the whole text."""
+    n = len(phrase)
+
+    def found(t: Column) -> Column:
+        return F.transform(phrase_starts(t, phrase), lambda i: F.struct(i.alias("at"), left_of(t, i, w).alias("left"), right_of(t, i, n, w).alias("right")))
+
+    return let(tk, found)
 
 
 def left_of(tk: Column, at: Column, w: int) -> Column:

@@ -51,13 +51,13 @@ def flat_collocation(rows: DataFrame, id_col: str, tk: Column, anchors: Sequence
 
 def bounded_collocation(rows: DataFrame, tk: Column, phrase: Sequence[str], w: int, floor: int) -> DataFrame:
     """Collocates of a phrase inside its document, every occurrence counted."""
-    n = len(phrase)
-    held = rows.select(tk.alias("tk")).withColumn("at", tx.phrase_starts(F.col("tk"), phrase))
-    total = held.agg(F.sum(F.size("tk").cast("long")).alias("total"), F.sum(F.size("at").cast("long")).alias("anchor_freq"))
-    near = held.select("tk", F.explode("at").alias("at")).select(F.explode(F.concat(tx.left_of(F.col("tk"), F.col("at"), w), tx.right_of(F.col("tk"), F.col("at"), n, w))).alias("collocate"))
+    hits = rows.select(tx.around_phrase(tk, phrase, w).alias("hits"))
+    anchors = hits.agg(F.sum(F.size("hits").cast("long")).alias("anchor_freq"))
+    near = hits.select(F.explode_outer("hits").alias("h")).where("h is not null").select(F.explode(F.concat("h.left", "h.right")).alias("collocate"))
     co = near.where(~F.col("collocate").isin(*phrase)).groupBy("collocate").agg(F.count(F.lit(1)).alias("co_occurrences")).where(F.col("co_occurrences") >= floor)
-    counts = held.select(F.explode("tk").alias("collocate")).groupBy("collocate").agg(F.count(F.lit(1)).alias("freq"))
-    out = co.join(counts, "collocate").crossJoin(F.broadcast(total))
+    counts = rows.select(F.explode(tk).alias("collocate")).groupBy("collocate").agg(F.count(F.lit(1)).alias("freq"))
+    total = counts.agg(F.sum("freq").alias("total"))
+    out = co.join(counts, "collocate").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(anchors))  # one row each
     return out.select("collocate", "co_occurrences", pmi(F.col("co_occurrences"), F.col("anchor_freq"), F.col("freq"), F.col("total")).alias("pmi"))
 
 

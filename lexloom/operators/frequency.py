@@ -65,13 +65,11 @@ def stream_ngrams(stream: DataFrame, n: int) -> DataFrame:
 
 def kwic(rows: DataFrame, keys: Sequence[str], tk: Column, phrase: Sequence[str], w: int) -> DataFrame:
     """Keyword in context: one row per occurrence with ``w`` tokens on either side."""
-    held = rows.select(*keys, tk.alias("tk"))
-    at = held.select(*keys, "tk", F.explode(tx.phrase_starts(F.col("tk"), phrase)).alias("at"))
-    n = len(phrase)
+    at = rows.select(*keys, F.explode_outer(tx.around_phrase(tk, phrase, w)).alias("h")).where("h is not null")
     return at.select(
         *keys,
-        (F.col("at") - 1).cast("long").alias("pos"),
-        F.array_join(tx.left_of(F.col("tk"), F.col("at"), w), " ").alias("left_context"),
-        F.array_join(F.slice("tk", F.col("at"), F.lit(n)), " ").alias("keyword"),
-        F.array_join(tx.right_of(F.col("tk"), F.col("at"), n, w), " ").alias("right_context"),
+        (F.col("h.at") - 1).cast("long").alias("pos"),
+        F.array_join("h.left", " ").alias("left_context"),
+        F.lit(" ".join(phrase)).alias("keyword"),
+        F.array_join("h.right", " ").alias("right_context"),
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as tx
+
 from .frequency import top
 
 
@@ -26,8 +28,8 @@ def cooccurrence(rows: DataFrame, tk: Column, vocab: DataFrame, min_edge: int, k
     listed = vocab.agg(F.collect_set("term").alias("_vocab"))
     held = rows.select(*keys, tk.alias("_tk")).crossJoin(F.broadcast(listed))  # one row of bounded size
     terms = held.select(*keys, F.array_sort(F.array_intersect("_tk", "_vocab")).alias("t"))
-    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    return terms.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge)
+    pairs = tx.let(F.col("t"), lambda t: F.flatten(F.transform(t, lambda a, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
+    return terms.select(*keys, F.explode_outer(pairs).alias("p")).where("p is not null").groupBy(*keys, F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge)
 
 
 def endpoints(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -45,6 +47,14 @@ def graph_stats(vocab: DataFrame, edges: DataFrame, keep_isolates: bool = False)
     return n.crossJoin(e).select("nodes", "edges", F.try_divide(F.lit(2.0) * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)).alias("density"), F.try_divide(F.lit(2.0) * F.col("edges"), F.col("nodes")).alias("average_degree"))
 
 
+def size_summary(members: DataFrame, group: str) -> DataFrame:
+    """Number, median, largest, smallest and five largest sizes of the groups of ``members``."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    five = sizes.orderBy(F.desc("n")).limit(5).agg(F.array_join(F.sort_array(F.collect_list("n"), False), ",").alias("top5"))
+    whole = sizes.agg(F.count(F.lit(1)).alias("communities"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
+    return whole.crossJoin(F.broadcast(five))  # one row each
+
+
 def ego(edges: DataFrame, seeds: Sequence[str]) -> DataFrame:
     """Induced edges among each seed and its neighbours."""
     both = endpoints(edges)

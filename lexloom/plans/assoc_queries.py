@@ -88,9 +88,14 @@ with s as (select unnest({SENT}) as s from documents), t as (select {TK.replace(
 p as (select unnest(flatten(list_transform(range(1, len(tk) + 1), lambda i: list_transform(tk[i + 1:len(tk)], lambda b: {{'a': least(tk[i], b), 'b': greatest(tk[i], b)}})))) as p from t where len(tk) between 2 and 30)
 select p.a as term_1, p.b as term_2, count(*) as n from p where p.a <> p.b group by all having count(*) >= 8""")
 def sentence_pairs(spark, d):
-    sent = docs(spark, d).select(F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select(tk("s").alias("t")).where(F.size("t").between(2, 30))
-    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
-    return sent.select(F.explode(pairs).alias("p")).where("p.a <> p.b").groupBy(F.col("p.a").alias("term_1"), F.col("p.b").alias("term_2")).agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    sent = docs(spark, d).select(F.explode(F.split("text", r"[.!?\n]+")).alias("s"))
+
+    def ordered(t):
+        reach = F.when(F.size(t) <= 30, F.size(t)).otherwise(F.lit(0))
+        return F.flatten(F.transform(F.slice(t, 1, reach), lambda a, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
+
+    pairs = tx.let(tk("s"), ordered)
+    return sent.select(F.explode_outer(pairs).alias("p")).where("p.a <> p.b").groupBy(F.col("p.a").alias("term_1"), F.col("p.b").alias("term_2")).agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
 
 
 EDGES_SQL = f"""t as (select doc_id, lang, list_sort(list_distinct({TK})) as tk from documents), v as (select w as term, count(*) as freq from (select unnest({TK}) as w from documents) group by w order by freq desc, term limit 150),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assoc_queries, series_queries, span_queries, text_queries  # noqa: F401
+from . import assoc_queries, detail_queries, series_queries, span_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,11 +127,13 @@ def kwic_phrase(spark, d):
 with t as (select doc_id, {SPACE} as tk from documents), h as (select doc_id, tk, unnest(list_filter(range(1, len(tk) + 1), lambda i: lower(trim(tk[i], '.,;:!?"''()[]{{}}')) = 'rest')) as i from t)
 select doc_id, i - 1 as pos, tk[i] as keyword, array_to_string(tk[greatest(i - 8, 1):i + 8], ' ') as full_context from h""")
 def kwic_raw(spark, d):
-    held = docs(spark, d).select("doc_id", tx.tokens_space(F.col("text")).alias("tk"))
-    bare = F.transform("tk", lambda t: F.lower(F.btrim(t, F.lit(".,;:!?\"'()[]{}"))))
-    at = held.select("doc_id", "tk", F.posexplode(bare).alias("pos", "bare")).where("bare = 'rest'")
-    low = F.greatest(F.col("pos") - 7, F.lit(1))
-    return at.select("doc_id", F.col("pos").cast("long").alias("pos"), F.element_at("tk", F.col("pos") + 1).alias("keyword"), F.array_join(F.slice("tk", low, F.col("pos") + 10 - low), " ").alias("full_context"))
+    def found(t):
+        bare = F.transform(t, lambda x, i: F.when(F.lower(F.btrim(x, F.lit(".,;:!?\"'()[]{}"))) == "rest", i + 1))
+        near = lambda i: F.slice(t, F.greatest(i - 8, F.lit(1)), i + 9 - F.greatest(i - 8, F.lit(1)))
+        return F.transform(F.filter(bare, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.element_at(t, i).alias("keyword"), near(i).alias("near")))
+
+    at = docs(spark, d).select("doc_id", F.explode_outer(tx.let(tx.tokens_space(F.col("text")), found)).alias("h")).where("h is not null")
+    return at.select("doc_id", (F.col("h.at") - 1).cast("long").alias("pos"), "h.keyword", F.array_join("h.near", " ").alias("full_context"))
 
 
 @query("kwic_hit_counts", f"""
