@@ -115,10 +115,11 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.0) ->
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
     Null texts stay null, rows without a span stay as they are. The text is held in pieces of ``PIECE`` characters for this, so
-    a place deep in a long text isn't looked for from its start for every span.
+    a place deep in a long text isn't looked for from its start for every span. Other columns travel in one struct, so none of
+    their names can clash with those used here.
     """
-    names = docs.columns
-    found = with_spans(docs, text_or_empty(text_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = with_spans(docs.select(row.alias("_row")), F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
     grow = (
         "aggregate(filter(_spans, x -> x.score >= {least}), cast(array() as array<struct<start:bigint,kind:string,end:bigint>>), (a, x) -> "
         "if(size(a) > 0 and element_at(a, -1).end > x.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'kind', element_at(a, -1).kind, 'end', greatest(element_at(a, -1).end, x.end)))), "
@@ -139,8 +140,8 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.0) ->
 
     last = between("element_at(_u, -1).end", "cast(length(_t) as bigint)")
     pieces = f"array_join(transform(_u, (x, i) -> concat({between('if(i = 0, 0L, _u[i - 1].end)', 'x.start')}, '[', upper(x.kind), ']')), '')"
-    found = found.withColumn(text_col, F.expr(f"if(size(_u) > 0, concat({pieces}, {last}), {text_col})"))
-    return found.select(*names)
+    new = F.expr(f"if(size(_u) > 0, concat({pieces}, {last}), _row.`{text_col}`)")
+    return found.select(*[(new if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,16 @@ def test_pii_base_spans_and_redaction(spark):
         assert clean[d] == "".join([*out, t[at:]])
 
 
+def test_redaction_leaves_other_columns_alone(spark):
+    docs = frame(spark, [(1, "write to a.b@c.example now"), (2, None), (None, "")]).selectExpr("*", "'p' as _spans", "'q' as _row", "'r' as `_m.x`", "cast(null as int) as _p")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    kept = {r["doc_id"]: r for r in got.collect()}
+    assert kept[1]["text"] == "write to [EMAIL] now" and kept[2]["text"] is None and kept[None]["text"] == ""
+    for r in kept.values():
+        assert (r["_t"], r["_spans"], r["_row"], r["_m.x"], r["_p"]) == ("c", "p", "q", "r", None)
+
+
 def test_pii_iban_needs_its_checksum_and_context_moves_the_score(spark):
     got = {r["doc_id"]: r for r in pii.find_pii(frame(spark, [(1, "iban GB82WEST12345698765432"), (2, "GB82WEST12345698765433"), (3, "order 4111111111111111"), (4, "card 4111111111111111")])).collect()}
     assert got[1]["spans"] == "iban:5:27" and got[1]["scores"] == "1.00"
