@@ -61,6 +61,18 @@ def bounded_collocation(rows: DataFrame, tk: Column, phrase: Sequence[str], w: i
     return out.select("collocate", "co_occurrences", pmi(F.col("co_occurrences"), F.col("anchor_freq"), F.col("freq"), F.col("total")).alias("pmi"))
 
 
+def sentence_pairs(sentences: DataFrame, tk: Column, floor: int) -> DataFrame:
+    """Unordered pairs of different terms over all places of a sentence of any length, with their number.
+
+    A term that occurs x times meets one that occurs y times in x * y pairs of places, so only distinct terms are paired, and
+    a sentence's pairs are made one after another, never held together.
+    """
+    counted = tx.let(tk, lambda t: F.transform(F.array_sort(F.array_distinct(t)), lambda x: F.struct(x.alias("w"), F.size(F.filter(t, lambda y: y == x)).cast("long").alias("n"))))
+    each = sentences.select(counted.alias("t")).select("t", F.posexplode("t").alias("i", "a"))
+    pairs = each.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
+    return pairs.groupBy(F.col("a.w").alias("term_1"), F.col("b.w").alias("term_2")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n")).where(F.col("n") >= floor)
+
+
 def flag_association(flags: DataFrame, lexicons: Sequence[str], target: str) -> DataFrame:
     """Counts and measures of each lexicon flag against a target flag, over the rows of ``flags``."""
     long = flags.select(F.col(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(x).alias("lexicon"), F.col(x).alias("l")) for x in lexicons])).alias("s"))

@@ -98,6 +98,16 @@ def sentence_pairs(spark, d):
     return sent.select(F.explode_outer(pairs).alias("p")).where("p.a <> p.b").groupBy(F.col("p.a").alias("term_1"), F.col("p.b").alias("term_2")).agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
 
 
+@query("sentence_pairs_whole", f"""
+with s as (select unnest({SENT}) as s from documents), t as (select row_number() over () as sid, {TK.replace('lower(text)', 'lower(s)')} as tk from s),
+u as (select sid, unnest(tk) as w, generate_subscripts(tk, 1) as i from t)
+select least(a.w, b.w) as term_1, greatest(a.w, b.w) as term_2, count(*) as n from u a join u b on a.sid = b.sid and a.i < b.i where a.w <> b.w group by all having count(*) >= 8""")
+def sentence_pairs_whole(spark, d):
+    """Sentences of any length; ``sentence_pairs`` and its SQL leave out those of more than 30 tokens."""
+    sent = docs(spark, d).select(F.explode(F.split("text", r"[.!?\n]+")).alias("s"))
+    return ac.sentence_pairs(sent, tk("s"), 8)
+
+
 EDGES_SQL = f"""t as (select doc_id, lang, list_sort(list_distinct({TK})) as tk from documents), v as (select w as term, count(*) as freq from (select unnest({TK}) as w from documents) group by w order by freq desc, term limit 150),
 e0 as (select doc_id, unnest(tk) as w from t), e1 as (select doc_id, w from e0 semi join v on w = term), edges as (select a.w as src, b.w as dst, count(*) as weight from e1 a join e1 b on a.doc_id = b.doc_id and a.w < b.w group by all having count(*) >= 5)"""
 

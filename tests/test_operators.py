@@ -4,6 +4,7 @@ import datetime
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,6 +62,15 @@ def test_flat_and_bounded_collocation_differ_at_a_boundary(spark):
     assert bounded == {("alpha", 1), ("beta", 1), ("gamma", 1), ("delta", 1)}
 
 
+def test_sentence_pairs_of_a_long_sentence(spark):
+    rng = random.Random(3)
+    tk = [f"w{chr(97 + rng.randrange(20))}x" for _ in range(70)]
+    want = Counter(tuple(sorted(p)) for p in itertools.combinations(tk, 2) if p[0] != p[1])
+    df = texts(spark, " ".join(tk), "", None)
+    got = {(r["term_1"], r["term_2"]): r["n"] for r in ac.sentence_pairs(df, tx.tokens(F.col("text")), 8).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 8} and got
+
+
 def test_kwic_edges(spark):
     got = [tuple(r)[1:] for r in fq.kwic(texts(spark, "rest a rest b", "x"), ["doc_id"], tx.tokens_plain(F.col("text")), ["rest"], 2).orderBy("doc_id", "pos").collect()]
     assert got == [(0, "", "rest", "a rest"), (2, "rest a", "rest", "b")]
