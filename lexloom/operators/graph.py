@@ -22,14 +22,15 @@ def vocabulary(rows: DataFrame, tk: Column, size: int, by_documents: bool = Fals
 def cooccurrence(rows: DataFrame, tk: Column, vocab: DataFrame, min_edge: int, keys: Sequence[str] = ()) -> DataFrame:
     """Edges ``src < dst`` with the number of documents that hold both terms.
 
-    The vocabulary has a bounded size; it is one array next to every document, so pairs are made in place and counted
-    before the only shuffle, which is on the edges.
+    The vocabulary has a bounded size; it is one array next to every document. A document's pairs are made one after another,
+    never held together, and counted before the only shuffle, which is on the edges.
     """
     listed = vocab.agg(F.collect_set("term").alias("_vocab"))
     held = rows.select(*keys, tk.alias("_tk")).crossJoin(F.broadcast(listed))  # one row of bounded size
     terms = held.select(*keys, F.array_sort(F.array_intersect("_tk", "_vocab")).alias("t"))
-    pairs = tx.let(F.col("t"), lambda t: F.flatten(F.transform(t, lambda a, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
-    return terms.select(*keys, F.explode_outer(pairs).alias("p")).where("p is not null").groupBy(*keys, F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge)
+    each = terms.select(*keys, "t", F.posexplode("t").alias("i", "src"))
+    pairs = each.select(*keys, "src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst"))
+    return pairs.groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge)
 
 
 def endpoints(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
@@ -10,7 +12,7 @@ from lexloom.operators import frequency as fq
 from lexloom.operators import graph as gr
 from lexloom.operators.components import connected_components
 
-from .registry import query, table
+from .registry import ORACLES, query, table
 from .text_queries import PLAIN, RAW_TK, TK, docs, tk
 
 PMI = "log2(co_occurrences::double * total / (anchor_freq::double * collocate_freq))"
@@ -112,92 +114,92 @@ EDGES_SQL = f"""t as (select doc_id, lang, list_sort(list_distinct({TK})) as tk
 e0 as (select doc_id, unnest(tk) as w from t), e1 as (select doc_id, w from e0 semi join v on w = term), edges as (select a.w as src, b.w as dst, count(*) as weight from e1 a join e1 b on a.doc_id = b.doc_id and a.w < b.w group by all having count(*) >= 5)"""
 
 
-def graph(spark, d):
-    vocab = gr.vocabulary(docs(spark, d), tk(), 150)
+def graph(spark, d, size=150):
+    vocab = gr.vocabulary(docs(spark, d), tk(), size)
     return vocab, gr.cooccurrence(docs(spark, d), tk(), vocab, 5)
 
 
 @query("cooc_edges", f"with {EDGES_SQL} select * from edges")
-def cooc_edges(spark, d):
-    return graph(spark, d)[1]
+def cooc_edges(spark, d, size=150):
+    return graph(spark, d, size)[1]
 
 
 @query("graph_stats", f"with {EDGES_SQL}, n as (select src as w from edges union select dst from edges) select (select count(*) from n) as nodes, count(*) as edges, 2.0::double * count(*) / ((select count(*) from n) * ((select count(*) from n) - 1)) as density, 2.0::double * count(*) / (select count(*) from n) as average_degree from edges")
-def graph_stats(spark, d):
-    return gr.graph_stats(*graph(spark, d))
+def graph_stats(spark, d, size=150):
+    return gr.graph_stats(*graph(spark, d, size))
 
 
 ENDS = "ends as (select src as term, dst as other, weight from edges union all select dst, src, weight from edges)"
 
 
 @query("degree_top", f"with {EDGES_SQL}, {ENDS} select term, count(*) as degree, cast(sum(weight) as bigint) as strength from ends group by term order by degree desc, term limit 40")
-def degree_top(spark, d):
-    return gr.degrees(graph(spark, d)[1]).orderBy(F.desc("degree"), "term").limit(40)
+def degree_top(spark, d, size=150):
+    return gr.degrees(graph(spark, d, size)[1]).orderBy(F.desc("degree"), "term").limit(40)
 
 
 @query("degree_centrality", f"with {EDGES_SQL}, {ENDS} select term, count(*) / ((select count(distinct term) from ends) - 1)::double as centrality from ends group by term")
-def degree_centrality(spark, d):
-    deg = gr.degrees(graph(spark, d)[1])
+def degree_centrality(spark, d, size=150):
+    deg = gr.degrees(graph(spark, d, size)[1])
     return deg.crossJoin(F.broadcast(deg.agg(F.count(F.lit(1)).alias("n")))).select("term", (F.col("degree") / (F.col("n") - 1).cast("double")).alias("centrality"))
 
 
 @query("isolates", f"with {EDGES_SQL}, {ENDS} select term, freq from v anti join ends using (term)")
-def isolates(spark, d):
-    vocab, edges = graph(spark, d)
+def isolates(spark, d, size=150):
+    vocab, edges = graph(spark, d, size)
     return vocab.join(gr.degrees(edges), "term", "left_anti").select("term", "freq")
 
 
 @query("ego", f"with {EDGES_SQL}, {ENDS}, near as (select term as seed, other as term from ends where term in ('rest', 'license') union select distinct term, term from ends where term in ('rest', 'license')) select x.seed, src, dst, weight from edges join near x on x.term = src join near y on y.seed = x.seed and y.term = dst")
-def ego(spark, d):
-    return gr.ego(graph(spark, d)[1], ("rest", "license"))
+def ego(spark, d, size=150):
+    return gr.ego(graph(spark, d, size)[1], ("rest", "license"))
 
 
 @query("subgraph_stats", f"with {EDGES_SQL}, {ENDS}, near as (select term as seed, other as term from ends where term in ('rest', 'license') union select distinct term, term from ends where term in ('rest', 'license')), s as (select x.seed, src, dst from edges join near x on x.term = src join near y on y.seed = x.seed and y.term = dst), n as (select seed, count(distinct term) as nodes from near group by seed) select seed, nodes, count(*) as edges, 2.0::double * count(*) / (nodes * (nodes - 1)) as density from s join n using (seed) group by seed, nodes")
-def subgraph_stats(spark, d):
-    e = gr.ego(graph(spark, d)[1], ("rest", "license"))
+def subgraph_stats(spark, d, size=150):
+    e = gr.ego(graph(spark, d, size)[1], ("rest", "license"))
     n = e.select("seed", F.explode(F.array("src", "dst")).alias("t")).groupBy("seed").agg(F.countDistinct("t").alias("nodes"))
     return e.groupBy("seed").agg(F.count(F.lit(1)).alias("edges")).join(n, "seed").select("seed", "nodes", "edges", (F.lit(2.0) * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("density"))
 
 
 @query("adjacency", f"with {EDGES_SQL}, {ENDS}, top5 as (select term from ends group by term order by count(*) desc, term limit 5) select a.term, b.term as other, coalesce(weight, 0) as weight from top5 a cross join top5 b left join ends e on e.term = a.term and e.other = b.term")
-def adjacency(spark, d):
-    edges = graph(spark, d)[1]
-    top5 = F.broadcast(gr.degrees(edges).orderBy(F.desc("degree"), "term").limit(5).select("term"))
-    grid = top5.crossJoin(top5.select(F.col("term").alias("other")))  # 25 rows
+def adjacency(spark, d, size=150, most=5):
+    edges = graph(spark, d, size)[1]
+    top_terms = F.broadcast(gr.degrees(edges).orderBy(F.desc("degree"), "term").limit(most).select("term"))
+    grid = top_terms.crossJoin(top_terms.select(F.col("term").alias("other")))  # most x most rows
     return grid.join(gr.endpoints(edges), ["term", "other"], "left").select("term", "other", F.coalesce("weight", F.lit(0)).alias("weight"))
 
 
 @query("components", f"""with recursive {EDGES_SQL}, heavy as (select src, dst from edges where weight >= 12), e as (select src as a, dst as b from heavy union select dst, src from heavy), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as node, least(a, min(b)) as component from r group by a""")
-def components(spark, d):
-    return connected_components(graph(spark, d)[1].where("weight >= 12"), "src", "dst")
+def components(spark, d, size=150):
+    return connected_components(graph(spark, d, size)[1].where("weight >= 12"), "src", "dst")
 
 
 @query("louvain")
-def louvain(spark, d):
-    return gr.louvain(graph(spark, d)[1])
+def louvain(spark, d, size=2000):
+    return gr.louvain(graph(spark, d, size)[1])
 
 
 @query("edge_list", f"with {EDGES_SQL} select src as \"Source\", dst as \"Target\", weight as \"Weight\" from edges where weight >= 8")
-def edge_list(spark, d):
-    return graph(spark, d)[1].where("weight >= 8").select(F.col("src").alias("Source"), F.col("dst").alias("Target"), F.col("weight").alias("Weight"))
+def edge_list(spark, d, size=150):
+    return graph(spark, d, size)[1].where("weight >= 8").select(F.col("src").alias("Source"), F.col("dst").alias("Target"), F.col("weight").alias("Weight"))
 
 
 CROSS = f"t as (select case when role = 'user' then 'post' else 'comment' end as type, conv_id, turn, list_distinct({TK}) as tk from conversations), v as (select w, count(*) as n from (select unnest(tk) as w from t) group by w order by n desc, w limit 100), e1 as (select type, conv_id, turn, w from (select type, conv_id, turn, unnest(tk) as w from t) semi join v using (w)), edges as (select a.type, a.w as src, b.w as dst, count(*) as weight from e1 a join e1 b on a.type = b.type and a.conv_id = b.conv_id and a.turn = b.turn and a.w < b.w group by all having count(*) >= 3)"
 
 
-def typed_edges(spark, d):
+def typed_edges(spark, d, size=100):
     rows = table(spark, d, "conversations").withColumn("type", F.when(F.col("role") == "user", "post").otherwise("comment"))
-    return gr.cooccurrence(rows, tk(), gr.vocabulary(rows, tk(), 100, by_documents=True), 3, ["type"])
+    return gr.cooccurrence(rows, tk(), gr.vocabulary(rows, tk(), size, by_documents=True), 3, ["type"])
 
 
 @query("crosstype_edges", f"with {CROSS} select * from edges")
-def crosstype_edges(spark, d):
-    return typed_edges(spark, d)
+def crosstype_edges(spark, d, size=100):
+    return typed_edges(spark, d, size)
 
 
 @query("crosstype_jaccard", f"with {CROSS}, ends as (select type, src as term from edges union all select type, dst from edges), r as (select type, term, row_number() over (partition by type order by count(*) desc, term) as rn from ends group by type, term), k as (select type, term from r where rn <= 20) select count(*) filter (c = 2) as shared, count(*) filter (c = 2) / count(*)::double as jaccard from (select term, count(*) as c from k group by term)")
-def crosstype_jaccard(spark, d):
-    deg = gr.degrees(typed_edges(spark, d), ["type"]).select("type", F.col("term").alias("gram"), F.col("degree").alias("n"))
+def crosstype_jaccard(spark, d, size=100):
+    deg = gr.degrees(typed_edges(spark, d, size), ["type"]).select("type", F.col("term").alias("gram"), F.col("degree").alias("n"))
     c = fq.top(deg, 20, ["type"]).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     return c.agg(F.count_if(F.col("c") == 2).alias("shared"), F.count(F.lit(1)).alias("all")).select("shared", (F.col("shared") / F.col("all").cast("double")).alias("jaccard"))
 
@@ -222,15 +224,35 @@ def compare_three(spark, d):
 
 
 @query("pair_npmi", f"with {EDGES_SQL}, n as (select count(*) as n from documents), f as (select w, count(*) as f from e1 group by w) select src as term_1, dst as term_2, weight as n, log2(weight::double * n.n / (x.f::double * y.f)) / -log2(weight::double / n.n) as npmi, 14.0 + log2(weight::double * 2 / (x.f + y.f)) as log_dice from edges join f x on x.w = src join f y on y.w = dst, n")
-def pair_npmi(spark, d):
+def pair_npmi(spark, d, size=150):
     rows = docs(spark, d)
-    vocab, edges = graph(spark, d)
+    vocab, edges = graph(spark, d, size)
     f = rows.select(F.explode(F.array_distinct(tk())).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f")).join(F.broadcast(vocab.select(F.col("term").alias("w"))), "w", "left_semi")
     j = edges.join(f.select(F.col("w").alias("src"), F.col("f").alias("fa")), "src").join(f.select(F.col("w").alias("dst"), F.col("f").alias("fb")), "dst").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("docs"))))
     w, a, b, n = F.col("weight"), F.col("fa"), F.col("fb"), F.col("docs")
     return j.select(F.col("src").alias("term_1"), F.col("dst").alias("term_2"), w.alias("n"), ac.npmi(w, a, b, n).alias("npmi"), ac.log_dice(w, a, b).alias("log_dice"))
 
 
+#: The same graph queries with the reference's vocabularies, as ``<name>_whole``; the SQL of the small graphs holds 150 and 100 terms.
+WHOLE, TYPED_WHOLE = 2000, 1500
+
+
+def whole(f, sql=True, **sizes):
+    """``f`` with ``sizes``; its SQL is the small query's with the same sizes, where DuckDB is quick enough."""
+    name, text = f.__name__, ORACLES.get(f.__name__)
+    if text and sql:
+        text = text.replace("limit 150", f"limit {WHOLE}").replace("limit 100", f"limit {TYPED_WHOLE}").replace("limit 5)", f"limit {sizes.get('most', 5)})")
+    query(f"{name}_whole", text if sql else None)(partial(f, **sizes))
+
+
+for _f in (cooc_edges, graph_stats, degree_top, degree_centrality, isolates, ego, subgraph_stats, edge_list, pair_npmi):
+    whole(_f, size=WHOLE)
+whole(adjacency, size=WHOLE, most=200)
+whole(components, sql=False, size=WHOLE)  # the SQL's closure has a row for each pair of nodes and looks at all edges for each
+for _f in (crosstype_edges, crosstype_jaccard):
+    whole(_f, size=TYPED_WHOLE)
+
+
 @query("tfidf_top", f"""with t as (select doc_id, lang, unnest({TK}) as w from documents), tf as (select lang, doc_id, w, count(*) as tf from t group by all),
 v as (select lang, w from (select lang, w, sum(tf) as n from tf group by all) qualify row_number() over (partition by lang order by n desc, w) <= 50), k as (select tf.* from tf semi join v using (lang, w)),
 n as (select lang, count(*) as docs from documents group by lang), i as (select lang, w, ln((1 + docs) / (1 + count(*))::double) + 1 as idf from k join n using (lang) group by lang, w, docs),

@@ -11,7 +11,7 @@ from lexloom.operators import frequency as fq
 from lexloom.operators import graph as gr
 from lexloom.operators.components import connected_components
 
-from .assoc_queries import EDGES_SQL, graph
+from .assoc_queries import EDGES_SQL, WHOLE, graph, whole
 from .registry import query, table
 from .text_queries import PLAIN, RAW_TK, STOP_SQL, docs
 
@@ -81,8 +81,11 @@ def report_header(spark, d):
 with recursive {EDGES_SQL}, heavy as (select src, dst from edges where weight >= 12), e as (select src as a, dst as b from heavy union select dst, src from heavy), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
 m as (select a as node, least(a, min(b)) as c from r group by a), s as (select c, count(*) as n from m group by c)
 select count(*) as communities, median(n) as median_size, max(n) as largest, min(n) as smallest, (select string_agg(n, ',' order by n desc) from (select n from s order by n desc limit 5)) as top5 from s""")
-def community_sizes(spark, d):
-    return gr.size_summary(connected_components(graph(spark, d)[1].where("weight >= 12"), "src", "dst"), "component")
+def community_sizes(spark, d, size=150):
+    return gr.size_summary(connected_components(graph(spark, d, size)[1].where("weight >= 12"), "src", "dst"), "component")
+
+
+whole(community_sizes, sql=False, size=WHOLE)
 
 
 @query("argmax_member", "select source, doc_id, length(text) as score from documents qualify row_number() over (partition by source order by length(text) desc nulls last, doc_id) = 1")

@@ -15,6 +15,7 @@ from lexloom.operators import association as ac
 from lexloom.operators import clustering, corpus, graph, series, spans
 from lexloom.operators import frequency as fq
 from lexloom.operators.components import connected_components
+from lexloom.plans import catalog
 from lexloom.sources import files, listings
 from lexloom.streaming import incremental
 
@@ -99,6 +100,15 @@ def test_graph(spark):
         graph.louvain(edges, [1.0], max_edges=2).collect()
 
 
+def test_graph_queries_hold_terms_beyond_the_first_150(spark, tmp_path):
+    names = ["qz" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
+    texts(spark, *[" ".join(names)] * 5).write.parquet(f"{tmp_path}/documents.parquet")
+    edges = {tuple(r) for r in catalog.QUERIES["cooc_edges_whole"](spark, str(tmp_path)).collect()}
+    assert edges == {(a, b, 5) for a, b in itertools.combinations(sorted(names), 2)}
+    assert {r["term"] for r in catalog.QUERIES["louvain"](spark, str(tmp_path)).collect()} == set(names)
+    assert catalog.QUERIES["adjacency_whole"](spark, str(tmp_path)).count() == 200 * 200
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(500, x) for x in range(501, 560)] + [(900, 900)]
