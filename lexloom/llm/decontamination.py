@@ -19,14 +19,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, table, text_or_empty, worker_cache
+from lexloom.session import stored
+
+from .tables import arrow_map, sized, table, text_or_empty, worker_cache
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -276,27 +279,32 @@ def find_leaks(
     )
 
 
+def cut_runs(raw: bytes, folded: bytes, hits: list[tuple[int, int]]) -> bytes:
+    """``raw`` without the runs of words; from the first to the last word of a run everything goes, what lies between included."""
+    places = [m.span() for m in _WORD.finditer(folded)]
+    out, at = [], 0
+    for a, b in hits:
+        out.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, raw[at:]])
+
+
 def cut_spans(text: str, automaton: Automaton) -> tuple[str, float]:
     """The text without its hit words, and the share of its words that went.
 
-    From the first to the last word of a run everything goes, what lies between the words included. What a cut brings
-    together is looked at again, until nothing is hit.
+    What a cut brings together is looked at again, until nothing is hit.
     """
     raw = text.encode("utf-8", "surrogatepass")
     words = gone = 0
     while True:
         folded = raw.translate(_FOLD)
-        hits, _ = automaton.scan(folded.split())
+        split = folded.split()
+        hits, _ = automaton.scan(split)
         if not hits:
             break
-        places = [m.span() for m in _WORD.finditer(folded)]
-        words = words or len(places)
-        out, at = [], 0
-        for a, b in hits:
-            out.append(raw[at : places[a][0]])
-            at = places[b - 1][1]
-            gone += b - a
-        raw = b"".join([*out, raw[at:]])
+        words = words or len(split)
+        raw = cut_runs(raw, folded, hits)
+        gone += sum(b - a for a, b in hits)
     return (raw.decode("utf-8", "surrogatepass"), gone / words) if gone else (text, 0.0)
 
 
@@ -317,17 +325,81 @@ def _cleaner(shared, names: list[str], max_coverage: float):
     return run
 
 
+def _spotter(shared):
+    """Maps ``k, text`` to ``k, spans`` of the rows with a hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("decontamination")
+        automaton: Automaton = shared.value
+        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for batch in batches:
+            keys, spans = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if hits := automaton.scan(words_of(text))[0]:
+                    keys.append(key)
+                    spans.append([{"a": a, "b": b} for a, b in hits])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, span)], ["k", "spans"])
+
+    return run
+
+
+def _cutter(max_coverage: float):
+    """Cuts the spans of all blocks from ``text`` at once; ``gone`` and ``words`` (of the uncut text) decide what stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            held = {n: batch.column(names.index(n)).to_pylist() for n in ("text", "gone", "words", "spans")}
+            texts, gone, words, keep = [], [], [], []
+            for text, g, w, spans in zip(*held.values(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                folded = raw.translate(_FOLD)
+                hits = merged([(s["a"], s["b"]) for s in spans])
+                texts.append(cut_runs(raw, folded, hits).decode("utf-8", "surrogatepass"))
+                gone.append(g + sum(b - a for a, b in hits))
+                words.append(w or len(folded.split()))
+                keep.append(gone[-1] / words[-1] <= max_coverage)
+            new = {"text": pa.array(texts, batch.schema.field("text").type), "gone": pa.array(gone, pa.int64()), "words": pa.array(words, pa.int64())}
+            out = [n for n in names if n != "spans"]
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(names.index(n))) for n in out], names=out).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` (with a column ``text``) without benchmark spans.
 
     Spans of ``window`` words or more (or whole shorter items) go from the texts; a document with more than ``max_coverage``
-    of its words hit goes altogether. Other columns pass through, rows with a null text too. Blocks follow one another.
+    of its words hit goes altogether. Other columns pass through, rows with a null text too.
+
+    The result doesn't depend on ``block_words``. One block is a narrow map. With more, the spans of all blocks on the same
+    text are merged and cut at once, and the rows that were cut are looked at again with all blocks until nothing is hit;
+    each round's rows are stored, and found by a key given when they were stored first.
     """
     spark = docs.sparkSession
-    for block in blocks_of(benchmark, "item_id", "text", block_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-        docs = arrow_map(docs, _cleaner(shared, docs.columns, max_coverage), docs.schema)
-    return docs
+    blocks = blocks_of(benchmark, "item_id", "text", block_words)
+    first = next(blocks, None)
+    if first is None:
+        return docs
+    second = next(blocks, None)
+    if second is None:
+        return arrow_map(docs, _cleaner(spark.sparkContext.broadcast(Automaton(first, window)), docs.columns, max_coverage), docs.schema)
+    shared = [spark.sparkContext.broadcast(Automaton(block, window)) for block in chain((first, second), blocks)]
+    zero = F.lit(0).cast("long")
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*others) if others else F.lit(True)
+    left = stored(docs.select(F.monotonically_increasing_id().alias("k"), rest.alias("rest"), "text", zero.alias("gone"), zero.alias("words")), "leaks")
+    clean: list[DataFrame] = []
+    while True:
+        texts = left.where("text is not null").select("k", "text")
+        spots = reduce(DataFrame.unionByName, [arrow_map(texts, _spotter(s), "k long, spans array<struct<a:int,b:int>>") for s in shared])
+        hit = stored(spots.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "leaks-hit")
+        clean.append(left.join(sized(hit.select("k")), "k", "left_anti"))
+        if hit.isEmpty():
+            break
+        both = left.join(hit, "k")
+        left = stored(arrow_map(both, _cutter(max_coverage), left.schema), "leaks")
+    return reduce(DataFrame.unionByName, clean).select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

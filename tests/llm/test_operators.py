@@ -206,6 +206,25 @@ def test_decontamination_without_items_and_removal(spark):
     assert left == {1: "Keep this. ! And this and so on and on for long.", 2: None, 4: "but  " + "more words to keep here " * 6}
 
 
+@pytest.mark.parametrize("block", [400_000, 6])
+def test_removal_does_not_depend_on_the_blocks(spark, block):
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[:6])), (2, " ".join(w[3:9])), (3, " ".join(w[20:26])), (4, " ".join(w[30:36]))]
+    half = " ".join([*w[:9], *w[40:49]])
+    rows = [
+        (1, " ".join([*w[:9], *w[40:52]])),  # windows of two items overlap
+        (2, " ".join([*w[20:26], *w[30:36], *w[40:48]])),  # 12 of 20 words, half by either item
+        (3, " ".join([*w[20:23], *w[30:36], *w[23:26], *w[40:56]])),  # cutting item 4 brings item 3 together
+        (4, None), (5, half), (5, half), (6, "Nothing, here."), (7, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, k string")
+    got = decontamination.remove_leaks(df, bench(spark, items), window=5, block_words=block)
+    assert got.columns == df.columns
+    have = sorted((r["doc_id"], None if r["text"] is None else r["text"].strip(), r["k"]) for r in got.collect())
+    want = [(1, " ".join(w[40:52]), "x"), (3, " ".join(w[40:56]), "x"), (4, None, "x"), (5, " ".join(w[40:49]), "x"), (5, " ".join(w[40:49]), "x"), (6, "Nothing, here.", "x"), (7, "", "x")]
+    assert have == want
+
+
 def test_media_round_trip(spark, rows):
     got = media.read_media(media.store_media(frame(spark, rows).repartition(3))).collect()
     want = []
