@@ -14,15 +14,22 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     n = len(x)
     if n < max(2, least):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
-    core = np.where(np.eye(n, dtype=bool), np.inf, d).min(axis=1)
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+
+    def away(i: int) -> np.ndarray:
+        return np.sqrt(((x[i] - x) ** 2).sum(-1))
+
+    core = np.empty(n)
+    for i in range(n):  # a row of distances at a time: memory grows with n, not with its square
+        d = away(i)
+        d[i] = np.inf
+        core[i] = d.min()
     inside, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = (reach[at] < best) & ~inside
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(away(at), np.maximum(core[at], core))
+        closer = (reach < best) & ~inside
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((float(best[at]), int(link[at]), at))
     kids: dict[int, tuple[int, int, float]] = {}
@@ -99,9 +106,12 @@ def density_clusters(x: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def cluster_groups(vectors: DataFrame, id_col: str, vec: str, group: str, sizes: Sequence[int] = (5, 10, 20), most: int = 5_000) -> DataFrame:
-    """``(group, min_size, id, cluster_id)``; a group is one task and has at most ``most`` rows (checked)."""
-    if vectors.groupBy(group).count().where(F.col("count") > most).limit(1).count():
+def cluster_groups(vectors: DataFrame, id_col: str, vec: str, group: str, sizes: Sequence[int] = (5, 10, 20), most: int | None = None) -> DataFrame:
+    """``(group, min_size, id, cluster_id)`` for groups of any size, or an error beyond ``most`` rows where that is given.
+
+    A group and size is one task: its memory grows with the group's rows, its time with their square.
+    """
+    if most is not None and vectors.groupBy(group).count().where(F.col("count") > most).limit(1).count():
         raise ValueError(f"a group has more than {most} rows; sample contexts first")
 
     def run(pdf):

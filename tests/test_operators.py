@@ -190,6 +190,15 @@ def test_density_clusters_find_blobs_and_noise(spark):
         clustering.cluster_groups(rows, "id", "v", "g", (5,), most=10)
 
 
+def test_density_clusters_of_a_group_of_more_than_5000_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.uniform(0, 1, (2600, 2)), rng.uniform(50, 51, (2600, 2)), [[500, 500]]))
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, g int")
+    got = {r["id"]: r["cluster_id"] for r in clustering.cluster_groups(rows, "id", "v", "g", (1000,)).collect()}
+    assert len(got) == 5201 and got[5200] == -1
+    assert len({got[i] for i in range(2600)}) == 1 and len({got[i] for i in range(2600, 5200)}) == 1 and got[0] != got[2600]
+
+
 def test_merge_and_samples(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "k long, body string")
     b = spark.createDataFrame([(2, "late"), (3, "z")], "k long, body string")
