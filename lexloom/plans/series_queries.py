@@ -132,6 +132,14 @@ def merge_provenance(spark, d):
     return co.merge_with_provenance([("pass_a", r.where("doc_id % 2 = 0")), ("pass_b", r.where("doc_id % 3 = 0")), ("fresh", r.where("doc_id % 5 = 0"))], "doc_id", ["lang"])
 
 
+@query("merge_provenance_whole", "with u as (select doc_id, lang, 'pass_a' as p, 0 as o from documents where doc_id in (select doc_id from labels) union all select doc_id, lang, 'pass_b', 1 from documents where lang = 'en' union all select doc_id, lang, 'fresh', 2 from documents) select doc_id, arg_min(lang, o) as lang, string_agg(distinct p, '|' order by p) as retrieval_provenance from u group by doc_id")
+def merge_provenance_whole(spark, d):
+    """Labelled, English and all documents, so that every document is merged; ``merge_provenance`` takes ids by remainder, as its SQL does."""
+    r = docs(spark, d).select("doc_id", "lang")
+    labelled = r.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return co.merge_with_provenance([("pass_a", labelled), ("pass_b", r.where("lang = 'en'")), ("fresh", r)], "doc_id", ["lang"])
+
+
 @query("provenance_group", "select case when source in ('src1', 'src2') then 'original' when contains(source, '1') then 'broad' else 'other' end as grp, count(*) as n, count(distinct lang) as langs from documents group by 1")
 def provenance_group(spark, d):
     g = F.when(F.col("source").isin("src1", "src2"), "original").when(F.contains("source", F.lit("1")), "broad").otherwise("other")

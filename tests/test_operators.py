@@ -211,6 +211,12 @@ def test_merge_and_samples(spark):
     assert corpus.sample(rows, "id", 7).count() == 7
 
 
+def test_provenance_holds_every_document(spark, tmp_path):
+    spark.createDataFrame([(1, "en"), (2, "de"), (7, "fr"), (11, "en")], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (11,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["doc_id"] for r in catalog.QUERIES["merge_provenance_whole"](spark, str(tmp_path)).collect()) == [1, 2, 7, 11]
+
+
 def test_near_duplicate_vectors_equal_all_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 4))
