@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from lexloom.session import Scratch, stored
 
 #: A node with more than a 1 / HEAVY_SHARE of all edges' ends is heavy, so there are at most HEAVY_SHARE of them.
 HEAVY_SHARE = 4_096
+#: Distinct edges up to which one task settles the graph by union-find (some tens of MB); with more it is contracted in rounds.
+FEW_EDGES = 300_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, object]:
@@ -32,10 +37,32 @@ def _lowered(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     return near.unionByName(far)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges in one task to ``node, component`` by union-find, the smaller root on top."""
+    parent: dict = {}
+
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([find(x) for x in list(parent)], kind)], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few_edges: int = FEW_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
-    Alternating large-star and small-star contraction: every round is two aggregations (with a map-side minimum) and two
+    Up to ``few_edges`` distinct edges, which are counted first, are settled by one task. More are contracted, with the same result:
+    alternating large-star and small-star steps, of which every round is two aggregations (with a map-side minimum) and two
     joins, in which a hub with very many neighbours doesn't gather in one task (see ``_lowered``). The number of rounds grows with the logarithm
     of the longest path. Rows with a null end are ignored, loops count as isolated nodes, repeated edges as one. Each round's edges are written to the
     shared folder and those of the round before deleted; the result is written there too.
@@ -45,6 +72,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     try:
         pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct()
         pairs = scratch.keep(pairs, "pairs")
+        if pairs.count() <= few_edges:
+            kind = pairs.schema["u"].dataType.simpleString()
+            return stored(pairs.repartition(1).mapInArrow(_settled, f"node {kind}, component {kind}"), "components")
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         current = scratch.keep(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         seen = _fingerprint(current)

@@ -109,7 +109,8 @@ def test_graph_queries_hold_terms_beyond_the_first_150(spark, tmp_path):
     assert catalog.QUERIES["adjacency_whole"](spark, str(tmp_path)).count() == 200 * 200
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_components(spark, few):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(500, x) for x in range(501, 560)] + [(900, 900)]
     parent = {}
@@ -122,9 +123,9 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), few_edges=few).collect()}
     assert got == {x: find(x) for e in edges for x in e}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert connected_components(spark.createDataFrame([], "a long, b long"), few_edges=few).collect() == []
 
 
 def test_interrupted_series(spark):
