@@ -15,8 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+    return F.coalesce(named(col), F.lit(""))
 
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -61,8 +66,13 @@ BATCH_ROWS = 1_024
 
 
 def arrow_map(rows: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
-    """``rows.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a smaller setting of the session stays)."""
+    """``rows.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a smaller setting of the session stays).
+
+    Batches go by position: input columns whose names Spark would read as paths get plain names on the way in.
+    """
     conf = rows.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if any("." in c or "`" in c for c in rows.columns):
+        rows = rows.toDF(*(f"_{i}" for i in range(len(rows.columns))))
     return rows.mapInArrow(run, schema)

@@ -90,36 +90,92 @@ def test_keep_one(spark):
     assert got.where("doc_id is null").count() == 1
 
 
-def test_tree_prunes_and_loses_nothing():
-    rng = np.random.default_rng(5)
+def random_sets(seed, families=12, size=8):
+    rng = np.random.default_rng(seed)
     sets = []
-    for f in range(12):
+    for _ in range(families):
         base = rng.integers(0, 1 << 62, rng.integers(3, 300)).astype(np.uint64)
-        for _ in range(8):
+        for _ in range(size):
             s = base.copy()
             for i in rng.integers(0, len(s), rng.integers(0, max(1, len(s) // 12) + 1)):
                 s[i] = rng.integers(0, 1 << 62)
             sets.append(np.unique(s))
-    joiner = jj.Joiner(sets, [None] * len(sets))
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    joiner.within(jj.Tree(order, sets, 1024))
+    return sets
+
+
+def linked(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_tree_prunes_and_loses_nothing(exact):
+    sets = random_sets(5)
+    joiner = jj.Joiner([(len(s), jj.bitmap(s)) for s in sets], [None] * len(sets), sets if exact else None)
+    stars = joiner.join([0] * len(sets))
     for i in range(len(sets)):
         for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if linked(sets[i], sets[j]):
                 assert joiner.find(i) == joiner.find(j)
     assert joiner.compared < len(sets) * (len(sets) - 1) // 8
-    for a, b in joiner.links:
-        both = len(np.intersect1d(sets[a], sets[b]))
-        assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
-
-
-def test_a_repeated_key_of_two_texts_is_likely_at_the_limit():
-    rng = np.random.default_rng(3)
-    met = 0
-    for _ in range(200):
-        common = rng.integers(0, 1 << 63, 160).astype(np.uint64)
-        a = np.unique(np.concatenate((common, rng.integers(0, 1 << 63, 20).astype(np.uint64))))
-        b = np.unique(np.concatenate((common, rng.integers(0, 1 << 63, 20).astype(np.uint64))))
-        met += bool(set(jj.keys_of(a).tolist()) & set(jj.keys_of(b).tolist()))
-    assert met == 200
+    if exact:
+        assert all(linked(sets[a], sets[b]) for a, b in joiner.links)
+    assert {a for a, _ in stars} | {b for _, b in stars} == {i for link in joiner.links for i in link}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_that_link_share_one_of_their_first_shingles_in_any_order(seed):
+    rng = np.random.default_rng(seed)
+    sets = random_sets(seed, 20)
+    every = np.unique(np.concatenate(sets))
+    order = jj.Order(rng.choice(every, len(every) // 3, replace=False).view(np.int64))
+    first = [set(order.first(s)[0].tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(sets[i], sets[j]):
+                assert first[i] & first[j]
+
+
+def limit_pairs():
+    """Pairs of texts that share exactly 80 % of their shingles, or one shingle less: words are dropped from one text's end."""
+    rows, want = [], {}
+    for k, n in enumerate((5, 10, 15, 40, 80, 200, 1000)):
+        words = [f"l{k}x{i}" for i in range(n + 4)]  # n shingles
+        for off, d in ((0, 4 * k), (1, 4 * k + 2)):
+            tag = [f"{w}o{off}" for w in words]
+            rows += [(d, " ".join(tag)), (d + 1, " ".join(tag[: len(tag) - n // 5 - off]))]
+            want[d + 1] = d if off == 0 else d + 1
+    return rows, want
+
+
+@pytest.mark.parametrize("hot", [0, 16])
+def test_pairs_exactly_at_the_limit(spark, hot):
+    rows, want = limit_pairs()
+    got = {r["doc_id"]: r["component_id"] for r in jj.components(frame(spark, rows), hot=hot).collect()}
+    assert {d: got[d] for d in want} == want
+
+
+@pytest.mark.parametrize("hot, hot_tokens, unit_nodes", [(0, 1_000_000, 192), (2, 40, 8), (16, 0, 5)])
+def test_order_and_blocks_do_not_change_the_result(spark, hot, hot_tokens, unit_nodes):
+    rows = corpus(hot + unit_nodes, families=5, size=30)
+    line = " ".join(f"c{i}" for i in range(12))  # a line that many documents share
+    rows += [(5000 + i, f"{line} only {i} of {i * 7} here {i * 13}") for i in range(60)]
+    want, _ = brute(rows)
+    got = jj.components(frame(spark, rows), unit_nodes=unit_nodes, hot=hot, hot_tokens=hot_tokens).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_nothing_is_left_in_the_shared_folder_but_results(spark):
+    import os
+
+    from lexloom.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    jj.components(frame(spark, corpus(1))).count()
+    made = set(os.listdir(shared_dir(spark))) - before
+    assert {m.rsplit("-", 1)[0] for m in made if m.startswith("lexloom-")} <= {"lexloom-jaccard-result", "lexloom-components"}
+
+
+def test_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id long, text string, `m.x` int, `a``b` int")
+    assert [tuple(r) for r in jj.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2)]
