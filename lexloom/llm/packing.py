@@ -15,6 +15,7 @@ import heapq
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,23 +36,37 @@ CACHE_WORDS = 300_000
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: The tokenizer's own pattern of pre-tokens, a fixed value.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level letters: bytes that print in Latin-1 stand for themselves, the others for letters from U+0100 on, in turn."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {x: chr(0x100 + i) for i, x in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordEncoder:
     """Ids of a text by a tokenizer that drops white space and never joins across it.
 
     Normalisation, pre-tokenization and special strings all stop at white space, so the ids of a text are those of its
-    words in turn; words are kept in a cache of two generations, each bounded.
+    words in turn; words are kept in a cache of two generations, each bounded. A new word of letters below U+0250 goes straight to the
+    tokenizer's merge model; one with signs or digits among them is first cut by the tokenizer's pattern. Others take the whole tokenizer.
     """
 
     def __init__(self, name: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tok.model
         self.limit = cache_words
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
-        self.ends = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
+        self.pieces = regex.compile(_PIECES).findall
+        self.letters = byte_letters()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers.
@@ -62,33 +77,33 @@ class WordEncoder:
         if "<|" in text or "Σ" in text or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
         words = text.lower().split()
-        fresh = self.fresh
-        new = [w for w in set(words) if w not in fresh]
-        if new:
-            aged, missing, ended = self.aged, [], []
-            for w in new:
-                if (known := aged.get(w)) is not None:
-                    fresh[w] = known
-                elif w[-1] in self.ends and w[:-1].isalpha() and max(w) < "ɐ":
-                    ended.append(w)  # Latin letters and one sign: always two pre-tokens
-                    if (core := w[:-1]) not in fresh:
-                        if (known := aged.get(core)) is None:
-                            missing.append(core)
-                        else:
-                            fresh[core] = known
-                else:
-                    missing.append(w)
-            for i in range(0, len(missing), 20_000):
-                part = missing[i : i + 20_000]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    fresh[w] = np.array(e.ids, dtype="<u4").tobytes()
-            for w in ended:
-                fresh[w] = fresh[w[:-1]] + self.ends[w[-1]]
-        ids = np.frombuffer(b"".join(map(fresh.__getitem__, words)), dtype="<u4")
-        if len(fresh) > self.limit:
-            self.aged, self.fresh = fresh, {}
+        found = list(map(self.fresh.get, words))
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    found[i] = self._word(words[i])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        if len(self.fresh) > self.limit:
+            self.aged, self.fresh = self.fresh, {}
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word (or of a pre-token, which is its own only one), now in the cache."""
+        known = self.fresh.get(word)
+        if known is None:
+            known = self.aged.get(word)
+            if known is None:
+                if max(word) >= "ɐ":
+                    ids = self.tok.encode(word, add_special_tokens=False).ids
+                    known = np.array(ids, dtype="<u4").tobytes()
+                elif word.isalpha() or len(parts := self.pieces(word)) == 1:
+                    plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+                    known = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+                else:
+                    known = b"".join(map(self._word, parts))
+            self.fresh[word] = known
+        return known
+
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """The sums and members of ``k`` windows, by largest differencing.
