@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, table, text_or_empty
+from .tables import arrow_map, named, picked, table, text_or_empty
 
 LABELLERS = ("length", "word_length", "letters", "variety", "repeated_lines", "symbols", "capitals", "breaks", "echoes", "marks", "density")
 #: Documents the scorer is fitted on, about; a seeded hash of id and text length picks them where there are more.
@@ -194,15 +194,15 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRA
     labellers' accuracies; only the scorer is fitted on a bounded sample. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     counted = arrow_map(rows.select("text"), _voting, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = {r["pattern"]: r["n"] for r in counted}
     _, _, posterior = estimate(patterns)
     n = sum(patterns.values())
-    sample = rows
-    if n > train_rows:
-        sample = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    sample = rows.where(picked(train_rows, n, "doc_id", F.length("text"), F.lit(11)))
     got = arrow_map(sample.select("text"), _featured(posterior), "y double, at array<int>, x array<float>").toArrow()
+    if n and not got.num_rows:
+        raise RuntimeError(f"no row of {n} was picked to fit the scorer")
     at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
     ends = at.offsets.to_numpy()
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))

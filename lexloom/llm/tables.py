@@ -33,6 +33,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def picked(rows: int, n: int, *columns: str | Column) -> Column:
+    """Whether a row is among about ``rows`` of ``n``, by a hash of ``columns``; 63 bits, so it picks some at any ``n``."""
+    return F.lit(True) if n <= rows else F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit((rows << 63) // n)
+
+
 #: Rows of one bigint column up to which a list of ids is sent to all executors (about 16 MB); beyond it a shuffle join is used.
 BROADCAST_ROWS = 500_000
 

@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored text.
 
 1. A character trigram model is counted over all documents (a fixed alphabet, so its table is bounded).
-2. Places in a text that look disguised (symbols or digits inside words, runs of one character, letters spaced out) become
-   lattices: each position may stand for itself, for the letter a leetspeak symbol looks like, for one or two of a run, and separators may vanish.
-   Viterbi decoding finds the likeliest reading under the channel's costs and the character model.
+2. Every word with a letter in it that also holds a look-alike (a digit or sign), a separator or a run of one character, and letters
+   spaced out, become lattices: each position may stand for itself, for the letter a leetspeak symbol looks like, for one or two of a run,
+   and separators may vanish. Viterbi decoding finds the likeliest reading under the channel's costs and the character model. Numbers,
+   which hold no letter, stay.
 3. The restored text is scored by a logistic model on hashed words and word beginnings. It learns from labelled documents outside
    the held-out fold only; beginnings that go with a label are picked by their log-odds first.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, table, text_or_empty, worker_cache
+from .tables import arrow_map, named, picked, table, text_or_empty, worker_cache
 
 FOLDS = 5
 #: Labelled documents the classifier is fitted on, about; a seeded hash of the id picks them where there are more.
@@ -35,10 +36,16 @@ N_SYMBOLS = len(LETTERS) + 2  # 0: no letter, last: another letter
 #: Look-alikes, fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 KEEP, SWAP, SQUEEZE, DROP = math.log(0.5), math.log(0.25), math.log(0.4), math.log(0.4)
+#: What a sign or digit costs that stays inside a word.
+STAYS = 6.0
 
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+]+[^\W\d_]|(?<![^\s(\"'])[@$0-9][^\W\d_]{2}|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![\w@$])[\w@$!](?:[ .\-_*][\w@$!]){3,}(?![\w@$])")
+#: A letter beside a look-alike, a separator or "!" between a letter and more of the word, or a run of three.
+_DISGUISED = re.compile(r"[^\W\d_][0-9@$|+]|[0-9@$!|+][^\W\d_]|[^\W\d_][._*\-!]+[\w@$]|([^\W\d_])\1\1")
+_SIGNS = "@$|+"
+_SEPARATORS = " ._*-"
+_BEFORE, _AFTER = "\"'([", ".,;:?!\"')]"
+_LETTER = re.compile(r"[^\W\d_]")
 _NOT_WORD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 else 0x20 for b in range(256))
 
 
@@ -106,7 +113,8 @@ class Restorer:
         self.cache: dict[str, str] = {}
 
     @staticmethod
-    def lattice(word: str, spaced: bool) -> list[list[tuple[str, float]]]:
+    def lattice(word: str) -> list[list[tuple[str, float]]]:
+        """What each position may stand for, with its cost; a run of three or more is one position, a separator a space or nothing."""
         steps: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(word):
@@ -114,8 +122,8 @@ class Restorer:
             j = i
             while j < len(word) and word[j] == c:
                 j += 1
-            if spaced and not c.isalnum() and c not in "@$!":
-                steps += [[(" ", KEEP), ("", DROP)]] * (j - i)
+            if c in _SEPARATORS:
+                steps.append([(" ", KEEP), ("", DROP)])
             elif j - i >= 3:
                 options = [(c, SQUEEZE), (c * 2, SQUEEZE)]
                 options += [(x * k, SQUEEZE + SWAP) for x in LEET.get(c, "") for k in (1, 2)]
@@ -125,22 +133,28 @@ class Restorer:
             i = j
         return steps
 
-    def decode(self, word: str, spaced: bool = False) -> str:
+    def cost(self, a: int, b: int, out: str) -> tuple[float, int, int]:
+        """The character model's score of ``out`` after symbols ``a, b``, and the last two symbols then."""
+        s = 0.0
+        for c in out:
+            z = _SYMBOL.get(c, N_SYMBOLS - 1 if c.isalpha() else 0)
+            if z == 0 and c != " ":
+                s -= STAYS
+            s += float(self.model[a, b, z])
+            a, b = b, z
+        return s, a, b
+
+    def decode(self, word: str) -> str:
+        """The likeliest reading of a word or of spaced letters; of equal ones the first."""
         if (known := self.cache.get(word)) is not None:
             return known
-        model = self.model
         beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in [*self.lattice(word, spaced), [(" ", 0.0)]]:
+        for options in [*self.lattice(word), [(" ", 0.0)]]:
             nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in beam.items():
                 for out, cost in options:
-                    x, y, s = a, b, score + cost
-                    for c in out:
-                        z = _SYMBOL.get(c, N_SYMBOLS - 1 if c.isalpha() else 0)
-                        if z == 0 and c != " ":
-                            s -= 6.0  # a sign that stays inside a word
-                        s += float(model[x, y, z])
-                        x, y = y, z
+                    s, x, y = self.cost(a, b, out)
+                    s += score + cost
                     if (x, y) not in nxt or s > nxt[(x, y)][0]:
                         nxt[(x, y)] = (s, (out, path))
             beam = nxt
@@ -156,50 +170,86 @@ class Restorer:
             self.cache[word] = read
         return read
 
+    def word(self, word: str) -> str:
+        """The reading of a word without white space, in lower case."""
+        if not _DISGUISED.search(word):
+            return word
+        a, b = 0, len(word)
+        while a < b and not word[a].isalnum() and word[a] not in _SIGNS + "!":
+            a += 1
+        while b > a and not word[b - 1].isalnum() and word[b - 1] not in _SIGNS:
+            b -= 1
+        return f"{word[:a]}{self.decode(word[a:b])}{word[b:]}"
+
     def restore(self, text: str) -> str:
-        """``text`` in lower case with its disguised places read out."""
-        text = text.lower()
-        if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: self.decode(m.group(0), True), text)
-        out, done = [], 0
-        for m in _DISGUISED.finditer(text):
-            if m.start() < done:
-                continue
-            a = m.start()
-            while a > done and not text[a - 1].isspace():
-                a -= 1
-            b = m.end()
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            while a < b and not text[a].isalnum() and text[a] not in "@$":
-                a += 1
-            while b > a and not text[b - 1].isalnum():
-                b -= 1
-            out += [text[done:a], self.decode(text[a:b])]
-            done = b
-        return "".join([*out, text[done:]]) if out else text
+        """``text`` in lower case with its disguised places read out and its words one space apart."""
+        words = spaced_together(text.lower().split())
+        return " ".join(self.decode(w) if " " in w else self.word(w) for w in words)
+
+
+def spaced_together(words: list[str]) -> list[str]:
+    """Three or more words of one sign each, with a letter among them, become one with spaces inside; the last may end a sentence."""
+    single = [i for i, w in enumerate(words) if len(w) == 1 or (len(w) == 2 and w[1] in _AFTER)]
+    out: list[str] = []
+    done = i = 0
+    while i < len(single):
+        j = i + 1
+        while j < len(single) and single[j] == single[j - 1] + 1 and len(words[single[j - 1]]) == 1:
+            j += 1
+        if j - i >= 3:
+            first, last = single[i], single[i] + j - i
+            run = " ".join([*words[first : last - 1], words[last - 1][0]])
+            if _LETTER.search(run):
+                out += [*words[done:first], run]
+                done = last
+        i = j
+    return out + words[done:] if out else words
 
 
 def words_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(_NOT_WORD).split())
 
 
+def distinct_words(text: str) -> set[str]:
+    """The distinct words of a text in lower case, without signs of sentences at their ends; spaced letters are one."""
+    return {w.rstrip(_AFTER).lstrip(_BEFORE) for w in set(spaced_together(text.lower().split()))}
+
+
 def features_of(word: bytes) -> tuple[int, ...]:
     """Places of a word and of its two beginnings."""
     at = [zlib.crc32(b"w" + word), zlib.crc32(b"4" + word[:4]), zlib.crc32(b"5" + word[:5])]
     return tuple(x % DIM for x in at)
 
 
+class Reader:
+    """Places of the features of words as they stand in texts, after their decoding; kept in a bounded cache."""
+
+    def __init__(self, model: np.ndarray, among: dict[int, float] | None = None) -> None:
+        self.restorer, self.among = Restorer(model), among
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def places(self, text: str) -> set[int]:
+        """Places of a text's features; only those in ``among`` where that is given."""
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        at: set[int] = set()
+        for w in distinct_words(text):
+            f = cache.get(w)
+            if f is None:
+                read = self.restorer.decode(w) if " " in w else self.restorer.word(w)
+                f = {x for part in words_of(read) for x in features_of(part)}
+                f = cache[w] = tuple(f if self.among is None else f & self.among.keys())
+            if f:
+                at.update(f)
+        return at
+
+
 def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        reader = Reader(shared.value)
         for batch in batches:
-            lists = []
-            for text in batch.column(1).to_pylist():
-                at: set[int] = set()
-                for w in words_of(restorer.restore(text)):
-                    at.update(features_of(w))
-                lists.append(sorted(at))
+            lists = [sorted(reader.places(text)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["label", "at"])
 
     return run
@@ -247,10 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = spark.sparkContext.broadcast(character_model(docs, text_col))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("label"))
     n = known.count()
-    sample = known
-    if n > rows:
-        sample = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    chosen = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "_id").select("label", "text")
+    sample = known.where(picked(rows, n, "_id", F.lit(7)))
+    chosen = docs.select(named(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "_id").select("label", "text")
     got = arrow_map(chosen, _featured(model), "label double, at array<int>").toArrow()
     at = got.column("at").combine_chunks()
     ends = at.offsets.to_numpy()
@@ -262,21 +310,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[int, float], b: float) -> None:
-        self.restorer, self.weights, self.b = Restorer(model), weights, b
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.reader, self.weights, self.b = Reader(model, weights), weights, b
 
     def score(self, text: str) -> float:
-        cache, weights = self.cache, self.weights
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        at: set[int] = set()
-        for w in words_of(self.restorer.restore(text)):
-            f = cache.get(w)
-            if f is None:
-                f = cache[w] = tuple(x for x in features_of(w) if x in weights)
-            if f:
-                at.update(f)
-        s = self.b + sum(weights[x] for x in sorted(at))
+        s = self.b + sum(self.weights[x] for x in sorted(self.reader.places(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
@@ -298,7 +335,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     model, weights, b = train(docs, labels, id_col, text_col, label_col)
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), held_out(id_col).alias("held_out"))
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), held_out(id_col).alias("held_out"))
     return arrow_map(rows, _scored(model, weights, b), f"doc_id {ids}, held_out boolean, score double, predicted int")
 
 
