@@ -17,7 +17,8 @@ are merged by document.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, repeat
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import stored
 
-from .tables import arrow_map, sized, table, text_or_empty, worker_cache
+from .tables import arrow_map, named, sized, table, text_or_empty, worker_cache
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -49,15 +50,19 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences with the items that own each window."""
+    """Generalised suffix automaton of word sequences with the items that own each window.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+    While it grows, states have their moves in dicts; then these are laid down as one sorted array of ``state * words + word`` with the targets
+    beside it, and everything else as arrays by state, so that what is sent to the tasks has a few bytes a state.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        owner: list[set[str]] = [set()]
-        short: dict[int, list[tuple[int, str]]] = {}
+        owner: list[set[str | None]] = [set()]
+        short: dict[int, list[tuple[int, str | None]]] = {}
         self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
         self.shortest = window
         for name, words in items:
@@ -78,14 +83,33 @@ class Automaton:
         for s in order:  # end positions flow to the suffix link, but no further than the state with the window itself
             if self.len[self.link[s]] >= window:
                 owner[self.link[s]] |= owner[s]
-        self.window_state, self.marked = [0] * len(self.len), [0] * len(self.len)
+        self.window_state, self.marked = array("i", [0]) * len(self.len), array("i", [0]) * len(self.len)
         for s in reversed(order):
             up = self.link[s]
             if self.len[s] >= window:
                 self.window_state[s] = s if self.len[up] < window else self.window_state[up]
             self.marked[s] = s if s in short else self.marked[up]
-        self.items = {s: tuple(sorted(owner[s])) for s in set(self.window_state) if s}
+        self.items = {s: tuple(owner[s]) for s in set(self.window_state) if s}
         self.short = short
+        self._lay_down()
+
+    def _lay_down(self) -> None:
+        self.width = len(self.vocab)
+        sizes = np.fromiter(map(len, self.next), dtype=np.int64, count=len(self.next))
+        n = int(sizes.sum())
+        states = np.repeat(np.arange(len(sizes)), sizes)
+        keys = states * self.width + np.fromiter(chain.from_iterable(self.next), dtype=np.int64, count=n)
+        order = np.argsort(keys)
+        targets = np.fromiter(chain.from_iterable(m.values() for m in self.next), dtype=np.int32, count=n)
+        self.keys, self.targets = array("q", keys[order].tobytes()), array("i", targets[order].tobytes())
+        self.link, self.len = array("i", self.link), array("i", self.len)
+        del self.next
+
+    def move(self, state: int, word: int) -> int:
+        """The state after ``word``, or -1."""
+        key = state * self.width + word
+        i = bisect_left(self.keys, key)
+        return self.targets[i] if i < len(self.keys) and self.keys[i] == key else -1
 
     def _new(self, length: int, link: int, moves: dict[int, int], owner: list[set[str]]) -> int:
         self.len.append(length)
@@ -142,10 +166,10 @@ class Automaton:
         for a, b in zip(begins[far].tolist(), ends[far].tolist(), strict=True):
             yield a, b + extra
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged half-open runs of hit words, and the items with a window in ``words``."""
         hits: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         if not self.vocab or len(words) < self.shortest:
             return hits, found
         ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -153,15 +177,17 @@ class Automaton:
             self._stream(ids[a:b].tolist(), a, hits, found)
         return merged(hits), found
 
-    def _stream(self, ids: list[int], at: int, hits: list[tuple[int, int]], found: set[str]) -> None:
-        nxt, link, length, window = self.next, self.link, self.len, self.window
+    def _stream(self, ids: list[int], at: int, hits: list[tuple[int, int]], found: set[str | None]) -> None:
+        link, length, window, move = self.link, self.len, self.window, self.move
         state = size = 0
         for i, w in enumerate(ids, at + 1):
-            while state and w not in nxt[state]:
+            to = -1 if w < 0 else move(state, w)
+            while state and to < 0:
                 state = link[state]
                 size = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
+                to = -1 if w < 0 else move(state, w)
+            if to >= 0:
+                state = to
                 size += 1
             if size >= window:
                 hits.append((i - window, i))
@@ -185,11 +211,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of at most ``block_words`` words (or one item); the driver holds one block at a time."""
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str | None, list[bytes]]] = []
     n = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(named(id_col).cast("string").alias("i"), named(text_col).alias("t")).where("t is not null")
     for row in rows.toLocalIterator():
         words = words_of(row["t"])
         if held and n + len(words) > block_words:
@@ -216,7 +242,7 @@ def _scanner(shared):
                 hits, found = automaton.scan(words)
                 n.append(len(words))
                 spans.append([{"a": a, "b": b} for a, b in hits])
-                items.append(sorted(found))
+                items.append(sorted(found, key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "n_words", "spans", "items"],
@@ -237,13 +263,14 @@ def find_leaks(
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, spans`` (half-open runs of hit words, merged) and ``items``.
 
-    Null texts have no words. Null items and items without words have no window; without any, nothing is hit. With one
+    Null texts have no words. Items with a null text or without words have no window; without any, nothing is hit. An item with a null id
+    hits like others and is one null in ``items``. Very long texts are scanned whole, word by word; repeated rows each have a result. With one
     block the operator is a map without any shuffle. With more, rows are joined by a row key made of the id and the text's
     digest, so repeated rows stay apart from others with the same id.
     """
     spark = docs.sparkSession
     ids = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     passes: list[DataFrame] = []
     keyed = rows.select(F.struct("doc_id", F.sha2("text", 256).alias("d")).alias("doc_id"), "text")
     blocks = blocks_of(benchmark, item_col, item_text_col, block_words)
@@ -387,7 +414,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     shared = [spark.sparkContext.broadcast(Automaton(block, window)) for block in chain((first, second), blocks)]
     zero = F.lit(0).cast("long")
     others = [c for c in docs.columns if c != "text"]
-    rest = F.struct(*others) if others else F.lit(True)
+    rest = F.struct(*map(named, others)) if others else F.lit(True)
     left = stored(docs.select(F.monotonically_increasing_id().alias("k"), rest.alias("rest"), "text", zero.alias("gone"), zero.alias("words")), "leaks")
     clean: list[DataFrame] = []
     while True:
