@@ -1,15 +1,20 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontamination, media, packing, pii, quality, sharding, token_counts, toxicity, url_filter
-from lexloom.llm.tables import table  # noqa: F401
+from lexloom.llm.tables import picked
 
 # columns that clash with names the operators use inside
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, chunks string, _t string, score string, label string, _id string, shard string"
@@ -77,6 +82,14 @@ def test_packing(spark, rows):
         assert have[k] == n * copies
 
 
+def test_word_ids_equal_whole_texts():
+    encoder = packing.WordEncoder("word_bpe_49k.json", 500)
+    whole = lambda t: encoder.tok.encode(t, add_special_tokens=False).ids
+    texts = [x for c in map(chr, range(1, 0x2C0)) for x in (c, f"a{c}", f"{c}a", f"1{c}b", f"'{c}s", c + c)]
+    texts += ["don't we'll 's it's ''s a's-b x²y ½", "naïve ÀÉ ǅ ß ﬀ İstanbul", "a.b,c!!!? --- $$$a&&&b 12345 1a2b3c", "日本語 mixed日本", "foo_bar __x__", ""]
+    assert [t for t in texts if encoder.encode(t).tolist() != whole(t)] == []
+
+
 def test_differencing_and_rising_window_count():
     rng = random.Random(3)
     for _ in range(60):
@@ -225,21 +238,57 @@ def test_removal_does_not_depend_on_the_blocks(spark, block):
     assert have == want
 
 
-def test_media_round_trip(spark, rows):
-    got = media.read_media(media.store_media(frame(spark, rows).repartition(3))).collect()
+def plain_cut(data):
+    """The rolling hash byte by byte."""
+    gear = [int.from_bytes(hashlib.sha256(b"gear %d" % i).digest()[:8], "little") for i in range(256)]
+    out, start, h = [], 0, 0
+    if len(data) <= media.MIN_CHUNK:
+        return [data]
+    for i, byte in enumerate(data, 1):
+        h = (2 * h + gear[byte]) % 2**64
+        if i - start > media.MAX_CHUNK:
+            out.append(data[start : start + media.MAX_CHUNK])
+            start += media.MAX_CHUNK
+        if h >> (64 - media.MASK_BITS) == 0 and i - start >= media.MIN_CHUNK or i == len(data) and i > start:
+            out.append(data[start:i])
+            start = i
+    return out
+
+
+def plain_feature(data):
+    n = len(data)
+    mean = sum(data) / n
+    std = (sum((x - mean) ** 2 for x in data) / n) ** 0.5
+    step = sum(abs(b - a) for a, b in zip(data, data[1:])) / (n - 1)
+    cross = sum((a > mean) != (b > mean) for a, b in zip(data, data[1:]))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+    return f"n={n};mean={mean:.4f};std={std:.4f};step={step:.4f};cross={cross};entropy={entropy:.4f}"
+
+
+def test_media_equals_brute_force(spark, rows):
+    shared = "shared passage of some length, " * 400  # chunks that texts have in common
+    more = [*rows, (200, shared + "one"), (201, "two " * 500 + shared), (202, shared + "one"), (203, shared * 3)]
+    store = media.store_media(frame(spark, more).repartition(3))
     want = []
-    for d, t in rows:
+    for d, t in more:
         raw = text_of(t).encode()
         p = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
-        want.append((-1 if d is None else d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
-    assert sorted((-1 if r[0] is None else r[0], *r[1:5]) for r in got) == sorted(want)
-    by = defaultdict(set)
-    for r in got:
-        by[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"], r["feature"]))
-    assert all(len(v) == 1 for v in by.values())
+        chunks = plain_cut(p)
+        form = b"CDC1" + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(c)) + hashlib.sha256(c).digest() for c in chunks) + p
+        want.append((-1 if d is None else d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(form), hashlib.sha256(form).hexdigest(), plain_feature(p), len(chunks)))
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in media.read_media(store).collect()) == sorted(want)
+    held = [hashlib.sha256(c).digest() for r in store.texts.collect() for c in r["chunks"] if c is not None]
+    assert len(held) == len(set(held)) == len({hashlib.sha256(c).digest() for _, t in more for c in media.cut(media.payload_of(text_of(t))[0])})
     assert media.read_media(media.store_media(frame(spark, []))).collect() == []
 
 
+def test_damaged_media_is_an_error(spark):
+    store = media.store_media(frame(spark, [(1, "some text")]))
+    damaged = store.texts.withColumn("chunks", F.transform("chunks", lambda c: F.concat(F.substring(c, 1, 191), F.lit(b"!"))))
+    with pytest.raises(Exception, match="missing or damaged"):
+        media.read_media(media.Media(damaged, store.moved, store.copies)).collect()
+
+
 def test_chunks_survive_edits_and_rebuild():
     rng = random.Random(2)
     data = bytes(rng.randrange(256) for _ in range(200_000))
@@ -297,6 +346,79 @@ def test_url_filter(spark):
     assert url_filter.judge(rows, url_filter.training_table(spark).limit(0)).count() == len(urls) + 1
 
 
+def plain_places(host, path):
+    grams = {m + t[i : i + 4] for m, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for i in range(max(1, len(t) - 3))}
+    return grams
+
+
+def test_url_verdicts_equal_a_plain_logistic_fit(spark):
+    """Newton's method on the same table; places are taken from Spark's hash, everything else is plain."""
+    table = [(r["url"], r["label"]) for r in url_filter.training_table(spark).collect()]
+    judged = [f"http://{w}.{t}/{p}" for w in ("casinos", "newsroom", "my-poker", "gardening", "qwerty", "bookshop") for t in ("org", "co") for p in ("", "en/7")]
+    parts = [(u, *url_brute(u)[:2]) for u in [*(u for u, _ in table), *judged]]
+    every = sorted({g for _, h, p in parts for g in plain_places(h, p)})
+    at = {r["g"]: r["x"] for r in spark.createDataFrame([(g,) for g in every], "g string").selectExpr("g", f"cast(pmod(xxhash64(g), {url_filter.DIM}) as int) as x").collect()}
+    x = np.zeros((len(parts), url_filter.DIM + 1))
+    x[:, -1] = 1
+    for i, (_, h, p) in enumerate(parts):
+        x[i, [at[g] for g in plain_places(h, p)]] = 1
+    fit, y = x[: len(table)], np.array([label for _, label in table], dtype=float)
+    ridge = np.full(url_filter.DIM + 1, 0.003)
+    ridge[-1] = 0
+    w = np.zeros(url_filter.DIM + 1)
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-fit @ w))
+        hessian = (fit * (q * (1 - q))[:, None]).T @ fit / len(y) + np.diag(ridge + 1e-9)
+        w -= np.linalg.solve(hessian, fit.T @ (q - y) / len(y) + ridge * w)
+    want = dict(zip(judged, 1 / (1 + np.exp(-x[len(table) :] @ w))))
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(judged)), "page_id long, url string"), url_filter.training_table(spark), rules=()).collect()
+    for r in got:
+        assert abs(r["score"] - want[judged[r["page_id"]]]) < 0.02
+        if abs(r["score"] - 0.5) > 0.02:  # scores agree to this much
+            assert (r["verdict"] == "block") == (want[judged[r["page_id"]]] >= 0.5)
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
+def character_model(texts):
+    three = np.zeros(toxicity.N_SYMBOLS**3)
+    for t in texts:
+        three += np.bincount(toxicity.trigram_codes(t), minlength=len(three))
+    three = three.reshape((toxicity.N_SYMBOLS,) * 3) + 0.01
+    return np.log(three / three.sum(axis=2, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("word", ["a$$", "a55", "5h17", "st.up.id", "f u k", "th3r3", "coool", "s-t-u-p", "id!ot", "0b4c", "1l|7", "aaa$$$b", "x", "$$$", "7h1s+"])
+def test_decoding_equals_enumeration(word):
+    restorer = toxicity.Restorer(character_model(["this is stupid stuff there", "ass shit fuk idiot cool", "a b c"]))
+    best, readings = None, []
+    for combo in itertools.product(*restorer.lattice(word), [(" ", 0.0)]):
+        score, a, b = 0.0, 0, 0
+        for out, cost in combo:
+            s, a, b = restorer.cost(a, b, out)
+            score += s + cost
+        readings.append((score, "".join(o for o, _ in combo)[:-1]))
+    best = max(s for s, _ in readings)
+    assert restorer.decode(word) in {r for s, r in readings if s > best - 1e-6}
+
+
+def test_disguises_reach_the_decoder():
+    restorer = toxicity.Restorer(character_model(["this is stupid stuff there", "ass shit fuk idiot cool stupid shit ass ass " * 50]))
+    assert restorer.restore("You a$$, 5h17 St.Up.Id f u k! 1d10t (coooool) 2024 1 2 3") == "you ass, shit stupid fuk idiot (cool) 2024 1 2 3"
+    assert toxicity.spaced_together("a b x y z word 1 2 3 word w u".split()) == ["a b x y z", "word", "1", "2", "3", "word", "w", "u"]
+    assert toxicity.spaced_together([]) == []
+
+
+def test_a_sample_is_never_empty(spark):
+    """The predicate at sizes beyond any table: its share of 63-bit hashes stays what was asked for."""
+    hashed = spark.range(200_000).select("id")
+    for n, rows in ((10**3, 5_000), (400_000, 100_000), (200_000 * 50, 200_000)):
+        share = hashed.where(picked(rows, n, "id", F.lit(1))).count() / 200_000
+        assert abs(share - min(1, rows / n)) < 0.01
+    assert hashed.where(picked(12_000, 10**11, "id")).count() < 10
+    bound = (12_000 << 63) // 10**11
+    assert 0.99 < bound / 2**63 / (12_000 / 10**11) < 1.01
+
+
 def toxic_rows():
     rng = random.Random(9)
     clean = ["garden", "river", "stone", "window", "little", "morning", "paper", "yellow", "table", "quiet", "walking", "summer"]
