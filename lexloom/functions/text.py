@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 URL = r"(?i)(https?://\S+)|(www\.\S+)|(\[[^\]]*?\]\([^)]*?\))"
@@ -176,3 +178,24 @@ def code_ratio(text: Column) -> Column:
 def first_match(text: Column, rules: Sequence[tuple[str, str, str, str]]) -> Column:
     """The first rule ``(pattern, label, confidence, note)`` that a text meets, as a struct."""
     return F.coalesce(*[F.when(text.rlike(p), F.struct(F.lit(a).alias("label"), F.lit(c).alias("confidence"), F.lit(n).alias("note"))) for p, a, c, n in rules])
+
+
+def seed_column(term: str) -> str:
+    """A column name for a seed term."""
+    return "r2_" + re.sub("[^a-z0-9]+", "_", term.lower())[:60].strip("_")
+
+
+def valid_pattern(spark: SparkSession, term: str) -> bool:
+    """Whether a term is a regular expression of the JVM's; asked on the driver, once a term."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(term)
+    except IllegalArgumentException:  # what a pattern's syntax error becomes
+        return False
+    return True
+
+
+def seed_match(text: Column, term: str, action: str, valid: bool = True) -> Column:
+    """Whether a text holds a seed term, without regard to case: as a pattern for the action ``regex``, else (or where the pattern isn't valid) as it stands."""
+    if action == "regex" and valid:
+        return text.rlike(f"(?i){term}")
+    return F.contains(F.lower(text), F.lit(term.lower()))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.session import stored
 
-from .frequency import global_positions
+from .frequency import edge_stream, token_table
 
 
 def safe_log2(x: Column) -> Column:
@@ -33,44 +34,52 @@ def lift(both: Column, a: Column, b: Column, n: Column) -> Column:
     return F.try_divide(both.cast("double") * n, a.cast("double") * b)
 
 
-def flat_collocation(rows: DataFrame, id_col: str, tk: Column, anchors: Sequence[str], w: int, floor: int, min_len: int = 3) -> DataFrame:
+def flat_collocation(rows: DataFrame, id_col: str, tk: Column, anchors: Sequence[str], w: int, floor: int, min_len: int = 3, stops: Sequence[str] = ()) -> DataFrame:
     """Collocates within ``w`` places of an anchor in the stream of all documents; each once per occurrence of the anchor.
 
-    Anchors are blown up to the places around them and meet the stream by equal position, so no window holds the stream.
+    Texts are tokenized once. Windows are slices of their document; only places beyond its ends meet the tokens near
+    the ends of others, by equal position.
     """
-    stream = global_positions(rows, id_col, tk)
-    counts = stream.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    held = token_table(rows, id_col, tk)
+    counts = held.select(F.explode("tk").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     total = counts.agg(F.sum("freq").alias("total"))
-    places = stream.where(F.col("token").isin(*anchors)).select(F.col("token").alias("anchor"), F.col("gpos").alias("at"), F.explode(F.expr(f"sequence(gpos - {w}, gpos + {w})")).alias("gpos")).where("gpos <> at")
-    near = places.join(stream.withColumnRenamed("token", "collocate"), "gpos").where((F.length("collocate") >= min_len) & (F.col("collocate") != F.col("anchor")))
-    co = near.select("anchor", "collocate", "at").distinct().groupBy("anchor", "collocate").agg(F.count(F.lit(1)).alias("co_occurrences")).where(F.col("co_occurrences") >= floor)
+    at = tx.let(F.col("tk"), lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin(*anchors), F.struct(x.alias("anchor"), i.alias("i"), tx.left_of(t, i + 1, w).alias("left"), tx.right_of(t, i + 1, 1, w).alias("right")))), lambda h: h.isNotNull()))
+    hits = held.select("start", "n", F.explode(at).alias("h")).select("start", "n", F.col("h.anchor").alias("anchor"), (F.col("start") + F.col("h.i")).alias("at"), F.concat("h.left", "h.right").alias("near"))
+    inside = hits.select("anchor", "at", F.explode("near").alias("collocate"))
+    places = hits.where((F.col("at") - w < F.col("start")) | (F.col("at") + w >= F.col("start") + F.col("n"))).select("start", "n", "anchor", "at", F.explode(F.expr(f"sequence(at - {w}, at + {w})")).alias("gpos"))
+    outside = places.where((F.col("gpos") < F.col("start")) | (F.col("gpos") >= F.col("start") + F.col("n"))).join(edge_stream(held, w).withColumnRenamed("token", "collocate"), "gpos").select("anchor", "at", "collocate")
+    near = inside.unionByName(outside).where((F.length("collocate") >= min_len) & (F.col("collocate") != F.col("anchor")))
+    if stops:
+        near = near.where(~F.col("collocate").isin(*stops))
+    co = near.distinct().groupBy("anchor", "collocate").agg(F.count(F.lit(1)).alias("co_occurrences")).where(F.col("co_occurrences") >= floor)
     few = F.broadcast(counts.where(F.col("token").isin(*anchors)).select(F.col("token").alias("anchor"), F.col("freq").alias("anchor_freq")))  # one row per anchor
     out = co.join(few, "anchor").join(counts.select(F.col("token").alias("collocate"), F.col("freq").alias("collocate_freq")), "collocate").crossJoin(F.broadcast(total))
     return out.select("anchor", "collocate", "co_occurrences", "anchor_freq", "collocate_freq", pmi(F.col("co_occurrences"), F.col("anchor_freq"), F.col("collocate_freq"), F.col("total")).alias("pmi"))
 
 
 def bounded_collocation(rows: DataFrame, tk: Column, phrase: Sequence[str], w: int, floor: int) -> DataFrame:
-    """Collocates of a phrase inside its document, every occurrence counted."""
-    hits = rows.select(tx.around_phrase(tk, phrase, w).alias("hits"))
+    """Collocates of a phrase inside its document, every occurrence counted. Texts are tokenized once, and the tokens written to the shared folder."""
+    rows = stored(rows.select(tk.alias("tk")), "tokens")
+    hits = rows.select(tx.around_phrase(F.col("tk"), phrase, w).alias("hits"))
     anchors = hits.agg(F.sum(F.size("hits").cast("long")).alias("anchor_freq"))
     near = hits.select(F.explode_outer("hits").alias("h")).where("h is not null").select(F.explode(F.concat("h.left", "h.right")).alias("collocate"))
     co = near.where(~F.col("collocate").isin(*phrase)).groupBy("collocate").agg(F.count(F.lit(1)).alias("co_occurrences")).where(F.col("co_occurrences") >= floor)
-    counts = rows.select(F.explode(tk).alias("collocate")).groupBy("collocate").agg(F.count(F.lit(1)).alias("freq"))
+    counts = rows.select(F.explode("tk").alias("collocate")).groupBy("collocate").agg(F.count(F.lit(1)).alias("freq"))
     total = counts.agg(F.sum("freq").alias("total"))
     out = co.join(counts, "collocate").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(anchors))  # one row each
     return out.select("collocate", "co_occurrences", pmi(F.col("co_occurrences"), F.col("anchor_freq"), F.col("freq"), F.col("total")).alias("pmi"))
 
 
-def sentence_pairs(sentences: DataFrame, tk: Column, floor: int) -> DataFrame:
-    """Unordered pairs of different terms over all places of a sentence of any length, with their number.
+def anchored_pairs(sentences: DataFrame, tk: Column, anchors: Sequence[str], w: int, keep: Callable[[Column], Column], floor: int) -> DataFrame:
+    """Unordered pairs of the kept terms within ``w`` places of each anchor of a sentence of any length; repeated pairs count, the anchor itself doesn't.
 
-    A term that occurs x times meets one that occurs y times in x * y pairs of places, so only distinct terms are paired, and
-    a sentence's pairs are made one after another, never held together.
+    A window holds at most ``2 * w`` terms, so its pairs are bounded whatever the sentence's length.
     """
-    counted = tx.let(tk, lambda t: F.transform(F.array_sort(F.array_distinct(t)), lambda x: F.struct(x.alias("w"), F.size(F.filter(t, lambda y: y == x)).cast("long").alias("n"))))
-    each = sentences.select(counted.alias("t")).select("t", F.posexplode("t").alias("i", "a"))
-    pairs = each.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
-    return pairs.groupBy(F.col("a.w").alias("term_1"), F.col("b.w").alias("term_2")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n")).where(F.col("n") >= floor)
+    at = tx.let(tk, lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin(*anchors), F.filter(F.concat(tx.left_of(t, i + 1, w), tx.right_of(t, i + 1, 1, w)), keep))), lambda c: c.isNotNull()))
+    windows = sentences.select(F.explode(at).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a, i: F.transform(F.slice(F.col("c"), i + 2, F.size("c")), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
+    each = windows.select(F.explode(pairs).alias("p"))
+    return each.groupBy(F.col("p.a").alias("term_1"), F.col("p.b").alias("term_2")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor)
 
 
 def flag_association(flags: DataFrame, lexicons: Sequence[str], target: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.session import stored
 
 
 def gram_counts(rows: DataFrame, grams: Column, keys: Sequence[str] = (), name: str = "gram") -> DataFrame:
@@ -41,26 +46,45 @@ def combination_skipgrams(rows: DataFrame, tk: Column, skip: int, keys: Sequence
     return held.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, F.col("p.gram").alias("gram")).agg(F.sum("p.w").alias("n"))
 
 
-def global_positions(rows: DataFrame, id_col: str, tk: Column, width: int = 4096) -> DataFrame:
-    """``(doc, gpos, token)``: places in the stream of all documents by id.
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the tokens before each row of its partition, and the partition."""
+    at, part = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        off = at + np.cumsum(n) - n
+        at += int(n.sum())
+        columns = [batch.column(0), batch.column(1), pa.array(off), pa.array(n), pa.array(np.full(len(n), part, dtype=np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "tk", "off", "n", "part"])
 
-    Offsets are summed in two steps, over blocks of ids and inside each, so no window holds all documents.
+
+def token_table(rows: DataFrame, id_col: str, tk: Column) -> DataFrame:
+    """``(doc, tk, start, n)``: the tokens of each document and their place in the stream of all documents by id, written to the shared folder.
+
+    Documents are sorted into ranges of ids; places are summed along each range, and only the sums of the ranges (one row each) meet in one
+    task. Ids may be of any type that sorts; a null text has no tokens.
     """
-    sized = rows.select(F.col(id_col).alias("doc"), tk.alias("tk")).withColumn("n", F.size("tk").cast("long")).withColumn("block", F.expr(f"doc div {width}"))
-    blocks = sized.groupBy("block").agg(F.sum("n").alias("bn"))
-    starts = blocks.select("block", (F.sum("bn").over(Window.orderBy("block")) - F.col("bn")).alias("bstart"))
-    inside = Window.partitionBy("block").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("off", F.sum("n").over(inside) - F.col("n")).join(starts, "block")
-    return placed.select("doc", (F.col("bstart") + F.col("off")).alias("start"), F.posexplode("tk").alias("pos", "token")).select("doc", (F.col("start") + F.col("pos")).alias("gpos"), "token")
+    kind = rows.schema[id_col].dataType.simpleString()
+    dealt = rows.select(F.col(id_col).alias("doc"), F.coalesce(tk, F.array().cast("array<string>")).alias("tk")).repartitionByRange("doc").sortWithinPartitions("doc")
+    held = stored(dealt.mapInArrow(_offsets, f"doc {kind}, tk array<string>, off long, n long, part int"), "tokens")
+    parts = held.groupBy("part").agg(F.sum("n").alias("pn"))
+    before = parts.select("part", (F.sum("pn").over(Window.orderBy("part")) - F.col("pn")).alias("before"))  # a row for each range
+    return held.join(F.broadcast(before), "part").select("doc", "tk", (F.col("before") + F.col("off")).alias("start"), "n")
+
+
+def edge_stream(held: DataFrame, w: int) -> DataFrame:
+    """``(gpos, token, left)``: the first and last ``w`` tokens of each document, where alone a window can leave it; ``left`` counts from the token to the end."""
+    each = held.select("start", "n", F.posexplode("tk").alias("i", "token")).where((F.col("i") < w) | (F.col("i") >= F.col("n") - w))
+    return each.select((F.col("start") + F.col("i")).alias("gpos"), "token", (F.col("n") - F.col("i")).alias("left"))
 
 
-def stream_ngrams(stream: DataFrame, n: int) -> DataFrame:
-    """N-grams of the concatenated corpus, which cross documents: an equi-join on positions for each further token."""
-    out = stream.select("gpos", F.col("token").alias("gram"))
+def stream_ngrams(held: DataFrame, n: int) -> DataFrame:
+    """N-grams of the concatenated corpus, from a ``token_table``: those inside a document are slices, only tokens near its ends are joined."""
+    inside = held.select(F.explode(tx.ngrams(F.col("tk"), n)).alias("gram"))
+    edge = edge_stream(held, n - 1)
+    out = edge.where(F.col("left") < n).select("gpos", F.col("token").alias("gram"))
     for k in range(1, n):
-        nxt = stream.select((F.col("gpos") - k).alias("gpos"), F.col("token").alias("_t"))
-        out = out.join(nxt, "gpos").select("gpos", F.concat_ws(" ", "gram", "_t").alias("gram"))
-    return out.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        out = out.join(edge.select((F.col("gpos") - k).alias("gpos"), F.col("token").alias("_t")), "gpos").select("gpos", F.concat_ws(" ", "gram", "_t").alias("gram"))
+    return inside.unionByName(out.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def kwic(rows: DataFrame, keys: Sequence[str], tk: Column, phrase: Sequence[str], w: int) -> DataFrame:

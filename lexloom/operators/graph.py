@@ -19,18 +19,89 @@ def vocabulary(rows: DataFrame, tk: Column, size: int, by_documents: bool = Fals
     return top(counts, size).select(F.col("gram").alias("term"), F.col("n").alias("freq"))
 
 
+def _gram_matrices(terms: list[str], n_keys: int):
+    """Batches of ``keys..., tokens`` to ``keys..., i, j, n``: per key the product of the 0/1 matrix of documents and terms with itself."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        listed = pa.array(terms, pa.string())
+        size, block, most = len(terms), 1024, 16
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list = []
+
+        def out():
+            for key, total in held.items():
+                i, j = np.nonzero(np.triu(total, 1))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(i), t) for k, t in zip(key, kinds)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j].astype(np.int64))], [*(f"k{x}" for x in range(n_keys)), "i", "j", "n"])
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.column(x).type for x in range(n_keys)]
+            tokens = batch.column(n_keys)
+            at = pc.index_in(tokens.flatten(), value_set=listed)
+            row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            col = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[known]
+            row = row[known]
+            keys = list(zip(*(batch.column(x).to_pylist() for x in range(n_keys)))) if n_keys else [()] * batch.num_rows
+            groups: dict[tuple, list[int]] = {}
+            for r, key in enumerate(keys):
+                groups.setdefault(key, []).append(r)
+            place = np.zeros(batch.num_rows, dtype=np.int64)
+            for key, own in groups.items():
+                if key not in held and len(held) >= most:
+                    yield from out()
+                total = held.setdefault(key, np.zeros((size, size)))
+                for a in range(0, len(own), block):
+                    part = own[a : a + block]
+                    place[:] = -1
+                    place[part] = np.arange(len(part))
+                    use = place[row] >= 0
+                    x = np.zeros((len(part), size), dtype=np.float32)
+                    x[place[row[use]], col[use]] = 1
+                    total += x.T @ x
+        yield from out()
+
+    return run
+
+
 def cooccurrence(rows: DataFrame, tk: Column, vocab: DataFrame, min_edge: int, keys: Sequence[str] = ()) -> DataFrame:
     """Edges ``src < dst`` with the number of documents that hold both terms.
 
-    The vocabulary has a bounded size; it is one array next to every document. A document's pairs are made one after another,
-    never held together, and counted before the only shuffle, which is on the edges.
+    The vocabulary has a bounded size and goes to every task. A task multiplies the matrix of documents and terms with itself block by
+    block, so what is shuffled are its sums, at most one row a task and edge.
+    """
+    terms = sorted(r["term"] for r in vocab.select("term").collect())
+    kinds = [f"k{x} {rows.schema[k].dataType.simpleString()}" for x, k in enumerate(keys)]
+    held = rows.select(*keys, F.coalesce(tk, F.array().cast("array<string>")).alias("_tk"))
+    cells = held.mapInArrow(_gram_matrices(terms, len(keys)), ", ".join([*kinds, "i int, j int, n long"]))
+    names = [f"k{x}" for x in range(len(keys))]
+    edges = cells.groupBy(*names, "i", "j").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_edge)
+    listed = rows.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")  # the bounded vocabulary
+    src, dst = (F.broadcast(listed.select(F.col("i").alias(at), F.col("term").alias(name))) for at, name in (("i", "src"), ("j", "dst")))
+    return edges.join(src, "i").join(dst, "j").select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "src", "dst", "weight")
+
+
+def central_terms(members: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most central terms inside each community: degree over the community's other terms, counting edges inside it. ``members``: ``term, community``."""
+    inside = endpoints(edges).join(members, "term").join(members.select(F.col("term").alias("other"), F.col("community").alias("_c")), "other").where("community = _c")
+    size = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    degree = members.join(inside.groupBy("community", "term").agg(F.count(F.lit(1)).alias("degree")), ["community", "term"], "left").join(size, "community")
+    central = degree.select("community", F.col("term").alias("gram"), F.coalesce(F.try_divide(F.col("degree").cast("double"), F.col("size") - 1), F.lit(0.0)).alias("n"))
+    return top(central, k, ["community"]).select("community", F.col("gram").alias("term"), F.col("n").alias("centrality"), "rank")
+
+
+def mentions(rows: DataFrame, id_col: str, tk: Column, tops: DataFrame, valence: Column | None = None) -> DataFrame:
+    """``(row, community)`` of the rows that hold at least one of a community's top terms, with ``valence`` where a scorer's column is given.
+
+    ``tops`` (``community, term``) is bounded by communities times top terms.
     """
-    listed = vocab.agg(F.collect_set("term").alias("_vocab"))
-    held = rows.select(*keys, tk.alias("_tk")).crossJoin(F.broadcast(listed))  # one row of bounded size
-    terms = held.select(*keys, F.array_sort(F.array_intersect("_tk", "_vocab")).alias("t"))
-    each = terms.select(*keys, "t", F.posexplode("t").alias("i", "src"))
-    pairs = each.select(*keys, "src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst"))
-    return pairs.groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge)
+    each = rows.select(F.col(id_col).alias("row"), (valence if valence is not None else F.lit(None).cast("double")).alias("valence"), F.explode(F.array_distinct(tk)).alias("term"))
+    return each.join(tops.select("community", "term"), "term").select("row", "community", "valence").distinct()
 
 
 def endpoints(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,38 +6,42 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.operators import association as ac
 from lexloom.operators import corpus as cp
 from lexloom.operators import frequency as fq
 from lexloom.operators import graph as gr
 from lexloom.operators.components import connected_components
 
-from .assoc_queries import EDGES_SQL, WHOLE, graph, whole
+from .assoc_queries import graph
 from .registry import query, table
 from .text_queries import PLAIN, RAW_TK, STOP_SQL, docs
 
+#: A fixed value: addresses as the frequency variants drop them.
 NO_URL = r"(https?://\S+)|(www\.\S+)"
 
 # --- frequency variants -------------------------------------------------------------------------------------------------------------------
 
+_CLEAN_TK = RAW_TK.replace("lower(text)", f"lower(regexp_replace(text, '{NO_URL}', ' ', 'g'))")
+_VARIANTS_SQL = {"raw": RAW_TK, "no_urls": _CLEAN_TK, **{f"{k}_no_stops": f"list_filter({t}, lambda t: not list_contains({STOP_SQL}, t))" for k, t in (("raw", RAW_TK), ("no_urls", _CLEAN_TK))}}
 VARIANT_SQL = f"""
-with u as (select 'raw' as variant, unnest({RAW_TK}) as gram from documents union all select 'no_urls', unnest({RAW_TK.replace("lower(text)", f"lower(regexp_replace(text, '{NO_URL}', ' ', 'g'))")}) from documents),
-v as (select variant, gram from u union all select variant || '_no_stops', gram from u where not list_contains({STOP_SQL}, gram)),
-c as (select variant, gram, count(*) as n from v group by all)
-select variant, gram, n, row_number() over (partition by variant order by n desc, gram) as rank from c qualify rank <= 50"""
+with t as ({" union all ".join(f"select '{k}' as variant, {t} as tk from documents" for k, t in _VARIANTS_SQL.items())}),
+g as ({" union all ".join(f"select variant, {n} as n_tokens, unnest(list_transform(range(1, len(tk) - {n - 2}), lambda i: array_to_string(tk[i:i + {n - 1}], ' '))) as gram from t" for n in (1, 2, 3))}),
+c as (select variant, n_tokens, gram, count(*) as n from g group by all) select variant, n_tokens, gram, n, row_number() over (partition by variant, n_tokens order by n desc, gram) as rank from c qualify rank <= 500"""
 
 
 @query("freq_variants", VARIANT_SQL)
 def freq_variants(spark, d):
-    """All preprocessing variants in one pass: two token lists a text, counted before the stop lists are applied."""
-    kinds = {"raw": F.col("text"), "no_urls": F.regexp_replace("text", NO_URL, " ")}
+    """Unigrams, bigrams and trigrams of four preprocessing variants in one pass over the texts."""
+    kinds = {"raw": tx.tokens(F.col("text")), "no_urls": tx.tokens(F.regexp_replace("text", NO_URL, " "))}
+    kinds |= {f"{k}_no_stops": tx.without(t) for k, t in kinds.items()}
+    variants = docs(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), t.alias("tk")) for k, t in kinds.items()])).alias("v")).select("v.variant", "v.tk").where(F.size("tk") > 0)
 
-    def named(kind):
-        return lambda t: F.struct(F.lit(kind).alias("variant"), t.alias("gram"))
+    def of(n):
+        return lambda gram: F.struct(F.lit(n).alias("n_tokens"), gram.alias("gram"))
 
-    lists = F.flatten(F.array(*[F.transform(tx.tokens(c), named(k)) for k, c in kinds.items()]))
-    counts = docs(spark, d).select(F.explode_outer(lists).alias("g")).where("g is not null").groupBy("g.variant", "g.gram").agg(F.count("*").alias("n"))
-    bare = counts.where(~F.col("gram").isin(*tx.STOPS)).withColumn("variant", F.concat("variant", F.lit("_no_stops")))
-    return fq.top(counts.unionByName(bare), 50, ["variant"])
+    orders = F.flatten(F.array(*[F.transform(tx.ngrams(F.col("tk"), n), of(n)) for n in (1, 2, 3)]))
+    counts = variants.select("variant", F.explode(orders).alias("g")).groupBy("variant", "g.n_tokens", "g.gram").agg(F.count("*").alias("n"))
+    return fq.top(counts, 500, ["variant", "n_tokens"])
 
 
 # --- contingencies and summaries ----------------------------------------------------------------------------------------------------------
@@ -77,15 +81,15 @@ def report_header(spark, d):
     return out.withColumn("bucket", F.when(F.col("mean_length") < 200, "short").when(F.col("mean_length") < 2000, "middle").otherwise("long"))
 
 
-@query("community_sizes", f"""
-with recursive {EDGES_SQL}, heavy as (select src, dst from edges where weight >= 12), e as (select src as a, dst as b from heavy union select dst, src from heavy), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
-m as (select a as node, least(a, min(b)) as c from r group by a), s as (select c, count(*) as n from m group by c)
-select count(*) as communities, median(n) as median_size, max(n) as largest, min(n) as smallest, (select string_agg(n, ',' order by n desc) from (select n from s order by n desc limit 5)) as top5 from s""")
-def community_sizes(spark, d, size=150):
-    return gr.size_summary(connected_components(graph(spark, d, size)[1].where("weight >= 12"), "src", "dst"), "component")
+@query("community_sizes", "with c as (select source as c, count(*) as n from documents group by 1) select count(*) as communities, median(n) as median_size, max(n) as largest, min(n) as smallest, (select string_agg(n, ',' order by n desc) from (select n from c order by n desc limit 5)) as top5 from c")
+def community_sizes(spark, d):
+    return gr.size_summary(docs(spark, d).select("source"), "source")
 
 
-whole(community_sizes, sql=False, size=WHOLE)
+@query("component_sizes")
+def component_sizes(spark, d):
+    """The same summary of the components of the graph's heavier edges; no SQL, its closure would have a row for each pair of nodes."""
+    return gr.size_summary(connected_components(graph(spark, d)[1].where("weight >= 12"), "src", "dst"), "component")
 
 
 @query("argmax_member", "select source, doc_id, length(text) as score from documents qualify row_number() over (partition by source order by length(text) desc nulls last, doc_id) = 1")
@@ -108,11 +112,11 @@ def verdicts(spark, d):
 
 
 @query("universe_filter", r"""
-with f as (select regexp_matches(lower(text), 'of the|and the') as p, regexp_matches(lower(text), '\b(rest|license)\b') as u from documents where text is not null)
+with f as (select regexp_matches(lower(coalesce(text, '')), 'of the|and the') as p, regexp_matches(lower(coalesce(text, '')), '\b(rest|license)\b') as u from documents)
 select count(*) filter (p or u) as universe, count(*) filter (p and not u) as phrase_only, count(*) filter (u and not p) as unigram_only, count(*) filter (p and u) as both from f""")
 def universe_filter(spark, d):
-    low = F.lower("text")
-    f = docs(spark, d).where("text is not null").select(low.rlike("of the|and the").alias("p"), low.rlike(r"\b(rest|license)\b").alias("u"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    f = docs(spark, d).select(low.rlike("of the|and the").alias("p"), low.rlike(r"\b(rest|license)\b").alias("u"))
     return f.agg(F.expr("count_if(p or u)").alias("universe"), F.expr("count_if(p and not u)").alias("phrase_only"), F.expr("count_if(u and not p)").alias("unigram_only"), F.expr("count_if(p and u)").alias("both"))
 
 
@@ -192,20 +196,20 @@ def anchor_tokens(spark, d):
     return seeds.join(counts, "anchor", "left").select("seed", "anchor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-TREEBANK = r"""regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), '([a-z])n''t([^a-z]|$)', '\1 n''t\2', 'g'), '([a-z])(''ll|''re|''ve|''s|''m|''d)([^a-z]|$)', '\1 \2\3', 'g'), '([.,;:!?"()\[\]{}<>&@#$%*])', ' \1 ', 'g'), '[ \t\n\r]+')"""
+TREEBANK = r"""regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([a-z])n''t([^a-z]|$)', '\1 n''t\2', 'g'), '([a-z])(''ll|''re|''ve|''s|''m|''d)([^a-z]|$)', '\1 \2\3', 'g'), '([.,;:!?"()\[\]{}<>&@#$%*])', ' \1 ', 'g'), '[ \t\n\r]+')"""
 
 
 @query("treebank_tokens", f"""
-with t as (select conv_id, turn, {TREEBANK} as w from conversations where text is not null)
+with t as (select conv_id, turn, {TREEBANK} as w from conversations)
 select conv_id, turn, array_to_string(list_filter(w, lambda x: regexp_matches(x, '[a-z0-9]')), ' ') as tokens, len(list_filter(w, lambda x: regexp_full_match(x, '[a-z][a-z-]*'))) as n_words from t""")
 def treebank_tokens(spark, d):
-    rows = table(spark, d, "conversations").where("text is not null")
+    rows = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("conv_id", "turn", F.array_join(tx.tokens_treebank(F.col("text")), " ").alias("tokens"), F.size(tx.tokens_treebank(F.col("text"), True)).cast("long").alias("n_words"))
 
 
-@query("social_tokens", r"""select conv_id, turn, array_to_string(regexp_extract_all(lower(text), '#[a-z0-9_]+|[0-9]+|[a-z]+|[\x{1F300}-\x{1FAFF}]'), ' ') as tokens from conversations where text is not null""")
+@query("social_tokens", r"""select conv_id, turn, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '#[a-z0-9_]+|[0-9]+|[a-z]+|[\x{1F300}-\x{1FAFF}]'), ' ') as tokens from conversations""")
 def social_tokens(spark, d):
-    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(tx.tokens_social(F.col("text")), " ").alias("tokens"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.tokens_social(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
 
 
 TIMES = r"[0-9]+ (?:second|minute|hour|day|week|month|year)s?|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}:[0-9]{2}|today|tomorrow|yesterday"
@@ -220,10 +224,10 @@ def temporal_expressions(spark, d):
 NUDGES = "under the license|take a (?:break|rest)|of the|get some rest"
 
 
-@query("nudge_flags", f"select doc_id, len(x) > 0 as nudge, array_to_string(x, '|') as spans, contains(lower(text), 'user:') or contains(lower(text), 'assistant:') as speaker from (select doc_id, text, regexp_extract_all(lower(text), '{NUDGES}') as x from documents where text is not null)")
+@query("nudge_flags", f"select doc_id, len(x) > 0 as nudge, array_to_string(x, '|') as spans, contains(lower(text), 'user:') or contains(lower(text), 'assistant:') as speaker from (select doc_id, coalesce(text, '') as text, regexp_extract_all(lower(coalesce(text, '')), '{NUDGES}') as x from documents)")
 def nudge_flags(spark, d):
-    low = F.lower("text")
-    held = docs(spark, d).where("text is not null").select("doc_id", low.alias("low"), F.regexp_extract_all(low, F.lit(NUDGES), F.lit(0)).alias("x"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    held = docs(spark, d).select("doc_id", low.alias("low"), F.regexp_extract_all(low, F.lit(NUDGES), F.lit(0)).alias("x"))
     return held.select("doc_id", (F.size("x") > 0).alias("nudge"), F.array_join("x", "|").alias("spans"), (F.contains("low", F.lit("user:")) | F.contains("low", F.lit("assistant:"))).alias("speaker"))
 
 
@@ -246,3 +250,103 @@ def hashed_embedding(spark, d):
     c = docs(spark, d).select("doc_id", F.explode(tx.hashed_terms(tx.tokens(F.col("text")))).alias("slot")).groupBy("doc_id", "slot").agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))  # at most 256 rows a document
     return c.select("doc_id", "slot", F.round(F.col("n") / norm, 9).alias("value"))
+
+
+# --- seed terms, shifts, profiles, dates ---------------------------------------------------------------------------------------------------
+
+#: Term, confidence and retrieval action; the last pattern isn't valid and is looked for as it stands.
+SEEDS = (
+    ("take a rest", "high", "exact match"), ("licen[sc]e", "high", "regex"), ("under the", "medium", "co_occurrence"), ("and (the|an)\\b", "high", "regex"), ("the (", "high", "regex"),
+)
+_SEED_SQL = {"take a rest": "contains(t, 'take a rest')", "licen[sc]e": "regexp_matches(t, '(?i)licen[sc]e')", "under the": "contains(t, 'under the')", "and (the|an)\\b": r"regexp_matches(t, '(?i)and (the|an)\b')", "the (": "contains(t, 'the (')"}
+
+
+@query("seed_matches", "select doc_id, " + ", ".join(f"{_SEED_SQL[t]} as {tx.seed_column(t)}" for t, _, _ in SEEDS) + ", array_to_string(list_filter([" + ", ".join(f"case when {_SEED_SQL[t]} then '{t}' end" for t, c, _ in SEEDS if c == "high") + "], lambda x: x is not null), '|') as high from (select doc_id, lower(coalesce(text, '')) as t from documents)")
+def seed_matches(spark, d):
+    """A flag for each seed term by its action, and the high-confidence terms that a document holds."""
+    found = {t: tx.seed_match(F.coalesce("text", F.lit("")), t, action, tx.valid_pattern(spark, t)) for t, _, action in SEEDS}
+    high = F.array_compact(F.array(*[F.when(found[t], F.lit(t)) for t, c, _ in SEEDS if c == "high"]))
+    return docs(spark, d).select("doc_id", *(m.alias(tx.seed_column(t)) for t, m in found.items()), F.array_join(high, "|").alias("high"))
+
+
+@query("confidence_shift", """
+with v as (select case when contains(text, '?') then 'question' else 'plain' end as l1, case when length(text) > 400 then 2 when length(text) > 100 then 1 else 0 end as c1, case when contains(text, '?') and length(text) > 50 then 'question' else 'plain' end as l2, case when contains(text, '?') then 2 when contains(text, ' the ') then 1 else 0 end as c2 from (select coalesce(text, '') as text from conversations))
+select count(*) as n, count(*) filter (l1 <> l2) as label_changed, count(*) filter (c2 > c1) as conf_up, count(*) filter (c2 < c1) as conf_down, count(*) filter (c2 = c1) as conf_same from v""")
+def confidence_shift(spark, d):
+    """Two labellings of the same rows: changed labels, and confidences (low, medium, high) that went up, down or stayed."""
+    t = F.coalesce("text", F.lit(""))
+    asked, n = F.contains(t, F.lit("?")), F.length(t)
+    first = F.when(n > 400, "high").when(n > 100, "medium").otherwise("low")
+    second = F.when(asked, "high").when(F.contains(t, F.lit(" the ")), "medium").otherwise("low")
+    rows = table(spark, d, "conversations").select(F.when(asked, "question").otherwise("plain").alias("l1"), first.alias("c1"), F.when(asked & (n > 50), "question").otherwise("plain").alias("l2"), second.alias("c2"))
+    return cp.label_shift(rows, "l1", "c1", "l2", "c2")
+
+
+_GROUPINGS = {"label": "label", "mod3": "vec_id % 3", "mod4": "vec_id % 4", "mod5": "vec_id % 5"}
+_ARI = "round((ij - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 9)"
+_ARI_SQL = "with " + ", ".join(
+    f"k{i}_{j} as (with l as (select {_GROUPINGS[a]} as a, {_GROUPINGS[b]} as b from embeddings), c as (select a, b, count(*) as n from l group by all), k as (select (select sum(n * (n - 1) / 2) from c) as ij, (select sum(m * (m - 1) / 2) from (select sum(n) as m from c group by a)) as pa, (select sum(m * (m - 1) / 2) from (select sum(n) as m from c group by b)) as pb, (select count(*) from l) as n) select '{a}' as a, '{b}' as b, {_ARI} as ari from k)"
+    for i, a in enumerate(_GROUPINGS) for j, b in enumerate(_GROUPINGS) if i < j
+) + ", u as (" + " union all ".join(f"select * from k{i}_{j}" for i in range(4) for j in range(4) if i < j) + "), m as (select a, b, ari from u union all select b, a, ari from u union all select unnest(['label', 'mod3', 'mod4', 'mod5']), unnest(['label', 'mod3', 'mod4', 'mod5']), 1.0)"
+
+
+def _ari_matrix(spark, d):
+    rows = table(spark, d, "embeddings").select("label", *(F.expr(f"vec_id % {k}").alias(f"mod{k}") for k in (3, 4, 5)))
+    return cp.rand_matrix(rows, list(_GROUPINGS)).withColumn("ari", F.round("ari", 9))
+
+
+@query("ari_matrix", _ARI_SQL + " select * from m")
+def ari_matrix(spark, d):
+    return _ari_matrix(spark, d)
+
+
+@query("ari_off_diagonal", _ARI_SQL + " select round(avg(ari), 9) as mean, min(ari) as least, max(ari) as most from m where a <> b")
+def ari_off_diagonal(spark, d):
+    return _ari_matrix(spark, d).where("a <> b").agg(F.round(F.avg("ari"), 9).alias("mean"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+
+
+@query("feature_means", "select toxic, count(*) as n, round(avg(n_chars), 6) as mean_chars, round(avg(len(string_split(coalesce(text, ''), ' '))), 6) as mean_words, round(avg(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '?', ''))), 6) as mean_asked from documents join labels using (doc_id) group by toxic")
+def feature_means(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    rows = docs(spark, d).select("doc_id", "n_chars", F.size(F.split(t, " ")).alias("w"), (F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))).alias("q")).join(table(spark, d, "labels"), "doc_id")
+    return rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in (("chars", "n_chars"), ("words", "w"), ("asked", "q"))))
+
+
+@query("group_profile", """with c as (select source, lang, count(*) as n from documents group by all)
+select source, cast(sum(n) as bigint) as n, '{' || string_agg('"' || lang || '":' || n, ',' order by lang) || '}' as langs, arg_min(lang, (-n, lang)) as most, round(max(n) / sum(n), 9) as share from c group by source""")
+def group_profile(spark, d):
+    """Per group its size, the counts of another column's values as JSON, the commonest value and its share."""
+    return cp.group_profile(docs(spark, d).select("source", "lang"), "source", "lang").withColumnsRenamed({"counts": "langs"}).withColumn("share", F.round("share", 9))
+
+
+@query("valid_times", "select event_id, ts as at from events where event_type <> 'error' and props is not null")
+def valid_times(spark, d):
+    """Rows with an unreadable time or a null body go; times here are made unreadable where an event is an error."""
+    shown = F.when(F.col("event_type") == "error", "n/a").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    rows = table(spark, d, "events").select("event_id", "props", shown.alias("at"))
+    return cp.readable(rows, "at", ["props"]).select("event_id", "at")
+
+
+@query("epoch_times", "select event_id, epoch(ts)::bigint as seconds, make_timestamp(epoch(ts)::bigint * 1000000) as at from (select event_id, date_trunc('second', ts) as ts from events)")
+def epoch_times(spark, d):
+    """Seconds since 1970 as times without a zone, in UTC."""
+    rows = table(spark, d, "events").select("event_id", F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("seconds"))
+    return rows.withColumn("at", cp.naive_utc(F.col("seconds")))
+
+
+@query("weekly_pmi", """with c as (select date_trunc('week', ts)::date as week, count(*) as n, count(*) filter (value > 50) as n_high, count(*) filter (event_type = 'error') as n_error, count(*) filter (value > 50 and event_type = 'error') as n_both from events group by 1 having count(*) >= 10)
+select *, case when n_both = 0 then 0 else round(log2(n_both::double * n / (n_high::double * n_error)), 4) end as pmi from c""")
+def weekly_pmi(spark, d):
+    high, error = F.col("value") > 50, F.col("event_type") == "error"
+    c = table(spark, d, "events").groupBy(F.date_trunc("week", "ts").cast("date").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.count_if(high).alias("n_high"), F.count_if(error).alias("n_error"), F.count_if(high & error).alias("n_both")).where("n >= 10")
+    return c.withColumn("pmi", F.coalesce(F.round(ac.pmi(F.col("n_both"), F.col("n_high"), F.col("n_error"), F.col("n")), 4), F.lit(0.0)))
+
+
+@query("near_dup_removed", "with v as (select vec_id as id, embedding::double[] as v from embeddings) select vec_id from embeddings where vec_id not in (select b.id from v a join v b on a.id < b.id where list_cosine_similarity(a.v, b.v) > 0.5)")
+def near_dup_removed(spark, d):
+    return cp.drop_near_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5).select("vec_id")
+
+
+@query("json_summary", "select source, '{\"n\":' || count(*) || ',\"longest\":' || max(n_chars) || '}' as summary from documents group by source")
+def json_summary(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"))).alias("summary"))

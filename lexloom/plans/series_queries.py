@@ -126,15 +126,9 @@ def quartiles(spark, d):
     return co.index_quartiles(docs(spark, d), "n_chars")
 
 
-@query("merge_provenance", "with u as (select doc_id, lang, 'pass_a' as p, 0 as o from documents where doc_id % 2 = 0 union all select doc_id, lang, 'pass_b', 1 from documents where doc_id % 3 = 0 union all select doc_id, lang, 'fresh', 2 from documents where doc_id % 5 = 0) select doc_id, arg_min(lang, o) as lang, string_agg(distinct p, '|' order by p) as retrieval_provenance from u group by doc_id")
+@query("merge_provenance", "with u as (select doc_id, lang, 'pass_a' as p, 0 as o from documents where doc_id in (select doc_id from labels) union all select doc_id, lang, 'pass_b', 1 from documents where lang = 'en' union all select doc_id, lang, 'fresh', 2 from documents) select doc_id, arg_min(lang, o) as lang, string_agg(distinct p, '|' order by p) as retrieval_provenance from u group by doc_id")
 def merge_provenance(spark, d):
-    r = docs(spark, d).select("doc_id", "lang")
-    return co.merge_with_provenance([("pass_a", r.where("doc_id % 2 = 0")), ("pass_b", r.where("doc_id % 3 = 0")), ("fresh", r.where("doc_id % 5 = 0"))], "doc_id", ["lang"])
-
-
-@query("merge_provenance_whole", "with u as (select doc_id, lang, 'pass_a' as p, 0 as o from documents where doc_id in (select doc_id from labels) union all select doc_id, lang, 'pass_b', 1 from documents where lang = 'en' union all select doc_id, lang, 'fresh', 2 from documents) select doc_id, arg_min(lang, o) as lang, string_agg(distinct p, '|' order by p) as retrieval_provenance from u group by doc_id")
-def merge_provenance_whole(spark, d):
-    """Labelled, English and all documents, so that every document is merged; ``merge_provenance`` takes ids by remainder, as its SQL does."""
+    """Labelled, English and all documents: frames given by columns, that together hold every document."""
     r = docs(spark, d).select("doc_id", "lang")
     labelled = r.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     return co.merge_with_provenance([("pass_a", labelled), ("pass_b", r.where("lang = 'en'")), ("fresh", r)], "doc_id", ["lang"])
@@ -268,27 +262,59 @@ def kmeans(spark, d):
     return KMeans(k=8, seed=42).fit(scaled).transform(scaled).select("vec_id", F.col("prediction").alias("cluster_id"))
 
 
-@query("lda")
-def lda(spark, d):
+def _topics(spark, d):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     from .text_queries import tk
 
-    rows = docs(spark, d).select("doc_id", tk().alias("tk"))
+    rows = docs(spark, d).select("doc_id", F.coalesce(tk(), F.array().cast("array<string>")).alias("tk"))
     cv = CountVectorizer(inputCol="tk", outputCol="features", vocabSize=1000).fit(rows)
-    model = LDA(k=5, seed=42, maxIter=5).fit(cv.transform(rows))
-    names = F.array(*[F.lit(w) for w in cv.vocabulary])
+    counted = cv.transform(rows)
+    return cv.vocabulary, counted, LDA(k=5, seed=42).fit(counted)
+
+
+@query("lda")
+def lda(spark, d):
+    vocabulary, _, model = _topics(spark, d)
+    names = F.array(*[F.lit(w) for w in vocabulary])
     return model.describeTopics(10).select(F.col("topic"), F.transform("termIndices", lambda i: F.get(names, i)).alias("terms"))
 
 
-@query("random_forest")
-def random_forest(spark, d):
+@query("lda_topics")
+def lda_topics(spark, d):
+    """The dominant topic of each document."""
+    from pyspark.ml.functions import vector_to_array
+
+    _, counted, model = _topics(spark, d)
+    share = vector_to_array("topicDistribution")
+    return model.transform(counted).select("doc_id", (F.array_position(share, F.array_max(share)) - 1).alias("topic"), F.array_max(share).alias("share"))
+
+
+FOREST = ("len", "words", "signs")
+
+
+def _forest(spark, d):
+    """100 trees on a seeded four fifths of the labelled documents, and the rest."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    rows = docs(spark, d).withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.length("text").alias("len"), F.size(F.split("text", " ")).alias("words"), F.regexp_count("text", F.lit("[#$%&*]{2}")).alias("signs")).join(table(spark, d, "labels"), "doc_id")
+    data = VectorAssembler(inputCols=list(FOREST), outputCol="features").transform(rows)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)) == 0
+    return RandomForestClassifier(labelCol="quality", numTrees=100, seed=42).fit(data.where(~held)), data.where(held)
+
+
+@query("random_forest")
+def random_forest(spark, d):
+    """Predictions for the rows that the trees haven't seen."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = docs(spark, d).select("doc_id", F.length("text").alias("len"), F.size(F.split("text", " ")).alias("words"), F.regexp_count("text", F.lit("[#$%&*]{2}")).alias("signs")).join(table(spark, d, "labels"), "doc_id")
-    data = VectorAssembler(inputCols=["len", "words", "signs"], outputCol="features").transform(rows)
-    model = RandomForestClassifier(labelCol="quality", numTrees=20, seed=42).fit(data)
-    return model.transform(data).select("doc_id", vector_to_array("probability")[1].alias("p_quality"), F.col("prediction").cast("int").alias("predicted"))
+    model, rest = _forest(spark, d)
+    return model.transform(rest).select("doc_id", "quality", vector_to_array("probability")[1].alias("p_quality"), F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("forest_importances")
+def forest_importances(spark, d):
+    model, _ = _forest(spark, d)
+    return spark.createDataFrame(list(zip(FOREST, model.featureImportances.toArray().tolist(), strict=True)), "feature string, importance double")

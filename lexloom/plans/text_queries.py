@@ -53,7 +53,7 @@ def freq_trigram(spark, d):
 with s as (select row_number() over (order by doc_id, i) as g, t from (select doc_id, unnest(tk) as t, generate_subscripts(tk, 1) as i from (select doc_id, {TK} as tk from documents)))
 select gram, n, row_number() over (order by n desc, gram) as rank from (select gram, count(*) as n from (select concat_ws(' ', t, lead(t) over (order by g)) as gram, lead(t) over (order by g) as z from s) where z is not null group by gram) qualify rank <= 100""")
 def ngram_stream(spark, d):
-    return fq.top(fq.stream_ngrams(fq.global_positions(docs(spark, d), "doc_id", tk()), 2), 100)
+    return fq.top(fq.stream_ngrams(fq.token_table(docs(spark, d), "doc_id", tk()), 2), 100)
 
 
 def _skip_sql(gaps, glue=" "):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,4 +71,9 @@ class Scratch:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        jvm.java.lang.System.gc()  # lets Spark's cleaner find the shuffles of plans that are gone
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Lets Spark's cleaner find the shuffles of plans that are gone, here and in the JVM."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()

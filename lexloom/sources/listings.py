@@ -33,7 +33,7 @@ def with_retries(call: Callable[[], Any], tries: int = 5, base: float = 1.0, sle
 
 
 def pages(fetch: Fetch, listing: str, start: int, end: int, page: int = 100, most_pages: int = 1000, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict[str, Any]]:
-    """Records of a listing in ``[start, end]`` from the newest back; each page begins before the oldest seen."""
+    """Records of a listing in ``[start, end]`` from the newest back; each page begins before the oldest seen. More than ``most_pages`` is an error."""
     before: int | None = end + 1
     seen: set[str] = set()
     for _ in range(most_pages):
@@ -48,6 +48,7 @@ def pages(fetch: Fetch, listing: str, start: int, end: int, page: int = 100, mos
         before = min(r["created_utc"] for r in got)
         if before < start or len(got) < page:
             return
+    raise RuntimeError(f"{listing} has more than {most_pages} pages in the window; nothing before {before} was read")
 
 
 def read_listings(spark: SparkSession, listings: list[str], fetch: Fetch, start: int, end: int) -> DataFrame:

@@ -63,13 +63,55 @@ def test_flat_and_bounded_collocation_differ_at_a_boundary(spark):
     assert bounded == {("alpha", 1), ("beta", 1), ("gamma", 1), ("delta", 1)}
 
 
-def test_sentence_pairs_of_a_long_sentence(spark):
+def test_anchored_pairs_of_a_long_sentence(spark):
     rng = random.Random(3)
-    tk = [f"w{chr(97 + rng.randrange(20))}x" for _ in range(70)]
-    want = Counter(tuple(sorted(p)) for p in itertools.combinations(tk, 2) if p[0] != p[1])
+    tk = [rng.choice([f"w{chr(97 + i)}x" for i in range(20)] + ["rest", "rest", "the"]) for _ in range(400)]
+    want = Counter()
+    for i, t in enumerate(tk):
+        if t == "rest":
+            near = [x for x in tk[max(0, i - 10) : i] + tk[i + 1 : i + 11] if x != "the"]
+            want.update(tuple(sorted(p)) for p in itertools.combinations(near, 2))
     df = texts(spark, " ".join(tk), "", None)
-    got = {(r["term_1"], r["term_2"]): r["n"] for r in ac.sentence_pairs(df, tx.tokens(F.col("text")), 8).collect()}
-    assert got == {p: n for p, n in want.items() if n >= 8} and got
+    got = {(r["term_1"], r["term_2"]): r["n"] for r in ac.anchored_pairs(df, tx.tokens_space(F.col("text")), ["rest"], 10, lambda x: x != "the", 2).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 2} and got
+
+
+def test_token_table_and_streams(spark):
+    rng = random.Random(8)
+    docs = [" ".join(rng.choice(("aaa", "bbb", "ccc", "rest")) for _ in range(rng.choice((0, 1, 1, 2, 3, 9, 30)))) for _ in range(60)] + [None]
+    df = spark.createDataFrame([(f"k{i:03}", t) for i, t in enumerate(docs)], "doc_id string, text string").repartition(7)
+    held = fq.token_table(df, "doc_id", tx.tokens(F.col("text")))
+    stream = [w for t in docs for w in (t or "").split()]
+    assert [w for r in sorted(held.collect(), key=lambda r: (r["start"], r["n"])) for w in r["tk"]] == stream
+    for r in held.collect():
+        assert stream[r["start"] : r["start"] + r["n"]] == r["tk"]
+    for n in (2, 3, 4):
+        got = {r["gram"]: r["n"] for r in fq.stream_ngrams(held, n).collect()}
+        assert got == Counter(" ".join(stream[i : i + n]) for i in range(len(stream) - n + 1))
+    want = Counter()
+    for i, t in enumerate(stream):
+        if t == "rest":
+            want.update({x for x in stream[max(0, i - 4) : i] + stream[i + 1 : i + 5] if x != "rest"})
+    got = {r["collocate"]: r["co_occurrences"] for r in ac.flat_collocation(df, "doc_id", tx.tokens(F.col("text")), ["rest"], 4, 1).collect()}
+    assert got == want
+
+
+def test_seed_terms(spark):
+    df = texts(spark, "Take a REST now", "Licence and the(x", "under THE roof the (", None)
+    rows = {r["doc_id"]: r for r in df.select("doc_id", *(tx.seed_match(F.coalesce("text", F.lit("")), t, a, tx.valid_pattern(spark, t)).alias(tx.seed_column(t)) for t, a in (("take a rest", "exact match"), ("licen[sc]e", "regex"), ("Under the", "co_occurrence"), ("the (", "regex")))).collect()}
+    assert [list(rows[i])[1:] for i in range(4)] == [[True, False, False, False], [False, True, False, False], [False, False, True, True], [False] * 4]
+    assert tx.seed_column("Go to -- bed!") == "r2_go_to_bed"
+    assert not tx.valid_pattern(spark, "a(") and tx.valid_pattern(spark, "a(b)?")
+
+
+def test_communities(spark):
+    edges = spark.createDataFrame([("a", "b", 3), ("a", "c", 2), ("b", "c", 1), ("c", "x", 9), ("x", "y", 4)], "src string, dst string, weight long")
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 1), ("x", 2), ("y", 2)], "term string, community int")
+    tops = graph.central_terms(members, edges, 3)
+    assert sorted((r["community"], r["term"], round(r["centrality"], 6), r["rank"]) for r in tops.collect()) == [(1, "a", 0.666667, 1), (1, "b", 0.666667, 2), (1, "c", 0.666667, 3), (2, "x", 1.0, 1), (2, "y", 1.0, 2)]
+    rows = spark.createDataFrame([(1, "a b x"), (2, "c c"), (3, "d"), (4, None)], "id long, text string")
+    got = sorted(tuple(r) for r in graph.mentions(rows, "id", tx.tokens_space(F.col("text")), tops).collect())
+    assert got == [(1, 1, None), (1, 2, None), (2, 1, None)]
 
 
 def test_kwic_edges(spark):
@@ -103,10 +145,10 @@ def test_graph(spark):
 def test_graph_queries_hold_terms_beyond_the_first_150(spark, tmp_path):
     names = ["qz" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
     texts(spark, *[" ".join(names)] * 5).write.parquet(f"{tmp_path}/documents.parquet")
-    edges = {tuple(r) for r in catalog.QUERIES["cooc_edges_whole"](spark, str(tmp_path)).collect()}
+    edges = {tuple(r) for r in catalog.QUERIES["cooc_edges"](spark, str(tmp_path)).collect()}
     assert edges == {(a, b, 5) for a, b in itertools.combinations(sorted(names), 2)}
     assert {r["term"] for r in catalog.QUERIES["louvain"](spark, str(tmp_path)).collect()} == set(names)
-    assert catalog.QUERIES["adjacency_whole"](spark, str(tmp_path)).count() == 200 * 200
+    assert catalog.QUERIES["adjacency"](spark, str(tmp_path)).count() == 200 * 200
 
 
 @pytest.mark.parametrize("few", [0, 300_000])
@@ -215,7 +257,7 @@ def test_merge_and_samples(spark):
 def test_provenance_holds_every_document(spark, tmp_path):
     spark.createDataFrame([(1, "en"), (2, "de"), (7, "fr"), (11, "en")], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(2,), (11,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
-    assert sorted(r["doc_id"] for r in catalog.QUERIES["merge_provenance_whole"](spark, str(tmp_path)).collect()) == [1, 2, 7, 11]
+    assert sorted(r["doc_id"] for r in catalog.QUERIES["merge_provenance"](spark, str(tmp_path)).collect()) == [1, 2, 7, 11]
 
 
 def test_near_duplicate_vectors_equal_all_pairs(spark):
@@ -224,7 +266,11 @@ def test_near_duplicate_vectors_equal_all_pairs(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if u[i] @ u[j] > 0.8}
-    assert {(r["i"], r["j"]) for r in corpus.near_duplicates(rows, "id", "v", 0.8, blocks=4).collect()} == want
+    assert {(r["i"], r["j"]) for r in corpus.near_duplicates(rows, "id", "v", 0.8, block_rows=11).collect()} == want
+    assert {r["id"] for r in corpus.drop_near_duplicates(rows, "id", "v", 0.8).collect()} == set(range(40)) - {j for _, j in want}
+    more = rows.unionByName(spark.createDataFrame([(90, None), (None, [1.0, 0.0, 0.0, 0.0]), (91, [0.0] * 4)], rows.schema))
+    assert {(r["i"], r["j"]) for r in corpus.near_duplicates(more, "id", "v", 0.8).collect()} == want
+    assert corpus.near_duplicates(rows.limit(0), "id", "v", 0.8).collect() == []
 
 
 def test_files(spark, tmp_path):
