@@ -4,9 +4,9 @@ Rows of each source are shuffled by a seeded hash and ranked; the fractional ran
 ``(2 * rank - 1) / (2 * rows of the source)`` spreads every source evenly over [0, 1). All rows are put in
 the order of that fraction and the order is cut in equal runs, so every shard has the mixture of the whole.
 
-Ranks are never taken over a whole source in one task. The hash falls into ``BUCKETS`` ranges; a small table of
-counts by (source, range) gives the rows before each range, and only the rows of one range are ranked together.
-The order by fraction is numbered in the same way. Only ids, sizes and checksums are shuffled, never texts.
+Ranks are never taken over a whole source in one task. The hash of id, checksum and size falls into ranges, as many as the rows ask
+for (``BUCKET_ROWS``); a small table of counts by (source, range) gives the rows before each range, and only the rows of one range are ranked
+together. The order by fraction is numbered in the same way. Only ids, sizes and checksums are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table, text_or_empty
+from .tables import named, table, text_or_empty
 
-BUCKET_BITS = 10
-BUCKETS = 1 << BUCKET_BITS
+#: Rows of a range, about; there are at least 2 ** 10 ranges and at most 2 ** 20.
+BUCKET_ROWS = 50_000
 SEED = 20240229
 
 
@@ -28,18 +28,19 @@ def interleave(
 
     A null text has size 1 and the checksum of the empty text; a null source is a source of its own; a null id
     is hashed like any other value; repeated rows are all placed. An empty table gives an empty result.
-    Ties of the hash are ordered by id, checksum and size, so the result depends on the rows alone.
+    Ties of the hash are ordered by id, checksum and size, so the result depends on the rows alone. Very long texts are read for their size and
+    checksum only.
     """
     text = text_or_empty(text_col)
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
+    bits = min(20, max(10, (docs.count() // BUCKET_ROWS).bit_length()))
+    buckets = 1 << bits
     keyed = docs.select(
-        F.col(id_col).alias("doc_id"),
+        named(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("_source"),
-        order.alias("_order"),
-        (F.shiftright(order, 64 - BUCKET_BITS) + BUCKETS // 2).cast("int").alias("_bucket"),
-    )
+        F.coalesce(F.concat(F.lit("s"), named(source_col).cast("string")), F.lit("n")).alias("_source"),
+    ).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    keyed = keyed.withColumn("_bucket", (F.shiftright("_order", 64 - bits) + buckets // 2).cast("int"))
     per_bucket = keyed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_source")
     before = per_bucket.select(
@@ -54,9 +55,9 @@ def interleave(
         .join(before, ["_source", "_bucket"])
         .withColumn("_odd", 2 * (F.col("_before") + F.col("_rn")) - 1)  # the fraction is _odd / (2 * _total)
         .withColumn("_fraction", F.col("_odd") / (2 * F.col("_total")))
-        .withColumn("_cell", F.expr(f"cast((_odd * {BUCKETS}) div (2 * _total) as int)"))
+        .withColumn("_cell", F.expr(f"cast((_odd * {buckets}) div (2 * _total) as int)"))
     )
-    cells = ranked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # at most BUCKETS rows
+    cells = ranked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     line = Window.orderBy("_cell")
     starts = cells.select(
         "_cell",
