@@ -39,16 +39,19 @@ GOOD_WORDS = (
     "health", "books", "physics", "market", "council", "kitchen", "football", "university", "research", "hospital", "gallery", "archive", "journal",
     "politics", "culture", "nature", "cooking", "chess", "astronomy", "railway", "forum", "maps", "theatre",
 )
-_SITES = ("{w}.example.org", "www.{w}.example.net", "{w}.co", "m.{w}.info", "blog.{w}.eu")
+#: Addresses that sites of either kind have, and those that one kind has more often.
+_SITES = ("{w}.com", "www.{w}.net", "{w}.org")
+_BAD_SITES = ("best-{w}24.xyz", "www.{w}-online.top")
+_GOOD_SITES = ("www.{w}.edu", "{w}.city.gov")
 _PATHS = ("/en/{n}", "/de/{n}.html", "/es/{n}/", "/fr/{n}", "/")
 
 
 def training_table(spark: SparkSession, bad=BAD_WORDS, good=GOOD_WORDS) -> DataFrame:
     """``(url, label)``: label 1 is to be blocked. A few hundred rows, five for each word."""
     rows = []
-    for label, words in ((1, bad), (0, good)):
+    for label, words, own in ((1, bad, _BAD_SITES), (0, good, _GOOD_SITES)):
         for i, w in enumerate(words):
-            for j, site in enumerate(_SITES):
+            for j, site in enumerate(_SITES + own):
                 rows.append(("https://" + site.format(w=w) + _PATHS[(i + j) % len(_PATHS)].format(n=17 * i + j), label))
     return spark.createDataFrame(rows, "url string, label int")
 
