@@ -318,6 +318,28 @@ def test_sharding(spark, rows):
     assert again == {(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got}
 
 
+def test_sharding_equals_a_plain_sort(spark, rows):
+    big = [(i, "x" * (i % 7)) for i in range(2000, 2400)] + rows
+    src = {i: "hot" if i % 3 == 0 else f"s{i % 5}" for i in range(2000, 2400)} | {2001: None}
+    df = frame(spark, big, src)
+    hashed = df.select("doc_id", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
+    hashed = [tuple(r) for r in hashed.withColumn("o", F.xxhash64(F.lit(sharding.SEED), "doc_id", "crc", "size")).collect()]
+    groups = defaultdict(list)
+    for d, source, crc, size, o in hashed:
+        groups["n" if source is None else "s" + source].append((o, d is not None, d or 0, crc, size))
+    line = []
+    for source, own in groups.items():
+        for rank, key in enumerate(sorted(own), 1):
+            line.append(((2 * rank - 1) / (2 * len(own)), source, *key))
+    line.sort()
+    n = len(line)
+    want = Counter()
+    for at, (_, _, _, there, d, crc, size) in enumerate(line):
+        shard = at * 16 // n
+        want[(d if there else None, size, crc, shard, at - -(-shard * n // 16))] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleave(df).collect()) == want
+
+
 def url_brute(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -466,6 +488,73 @@ def test_quality(spark, rows):
     assert quality.judge_quality(frame(spark, [])).collect() == []
 
 
+def plain_votes(text):
+    """The labellers, said anew."""
+    w = text.split()
+    if not w:
+        return "b" + "-" * 10
+    three = lambda x, bad, good: "b" if x < bad else "g" if x >= good else "-"
+    n, raw = len(w), text.encode("utf-8", "surrogatepass")
+    lines = [x for x in text.split("\n") if x.strip()]
+    letters = sum(1 for b in raw if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) / max(1, sum(b not in (10, 32) for b in raw))
+    signs = "#$%&*<>{}[]|\\~^=_@"
+    mean = sum(len(x) for x in w) / n
+    repeated = 1 - len(set(lines)) / len(lines) if lines else 0
+    runs = len([k for k, _ in itertools.groupby(text, key=lambda c: c in signs) if k])
+    capitals = sum(len(x) > 1 and x[0].isupper() and x[-1].isupper() for x in w) / n
+    echoes = sum(w[i] == w[i + 1] for i in range(n - 1)) / n
+    return "".join([
+        three(n, 3, 40), "-" if n < 20 else "b" if not 2.5 <= mean <= 12 else "g" if 3.5 <= mean <= 9 else "-", three(letters, 0.75, 0.93), "-" if n < 50 else three(len(set(w)) / n, 0.25, 0.4),
+        "-" if len(lines) < 3 else "b" if repeated > 0.3 else "g" if repeated == 0 else "-", "b" if (x := sum(c in signs for c in text) / n) > 0.15 else "g" if x < 0.03 else "-",
+        "b" if capitals > 0.2 else "g" if capitals < 0.05 else "-", "-" if n < 50 else "b" if len(lines) > n / 3 else "g" if len(lines) < n / 6 else "-", "-" if n < 20 else "b" if echoes > 0.05 else "g" if echoes < 0.01 else "-",
+        "b" if runs / n > 0.1 else "g" if runs / n < 0.02 else "-", "-" if n < 50 else three(len(zlib.compress(raw, 1)) / len(raw), 0.25, 0.35),
+    ])
+
+
+def plain_posteriors(patterns):
+    """Expectation-maximisation with plain loops from the same start."""
+    post = {p: (p.count("g") + 1) / (p.count("g") + 2 * p.count("b") + 2) for p in patterns}
+    k = len(next(iter(patterns)))
+    for _ in range(quality.ROUNDS):
+        cond = []
+        for good in (False, True):
+            table = []
+            for j in range(k):
+                n = {v: 0.5 + sum(c * (post[p] if good else 1 - post[p]) for p, c in patterns.items() if p[j] == v) for v in "gb"}
+                table.append({v: n[v] / (n["g"] + n["b"]) for v in "gb"})
+            cond.append(table)
+        share = (sum(c * post[p] for p, c in patterns.items()) + 1) / (sum(patterns.values()) + 2)
+        new = {}
+        for p in patterns:
+            logit = math.log(share / (1 - share)) + sum(math.log(cond[1][j][v] / cond[0][j][v]) for j, v in enumerate(p) if v != "-")
+            new[p] = 1 / (1 + math.exp(-max(-30, min(30, logit))))
+        moved = max(abs(new[p] - post[p]) for p in patterns)
+        if moved < 1e-9:
+            break
+        post = new
+    return post
+
+
+def test_votes_posteriors_and_scores_equal_brute_force(spark, rows):
+    rng = random.Random(6)
+    texts = [*rows, *((3000 + i, prose(rng, rng.randrange(1, 200)) + rng.choice(("", " $$$ ###", "\nA\nA\nA", " word word word"))) for i in range(60))]
+    got = quality.judge_quality(frame(spark, texts)).collect()
+    key = lambda d, v: (-1 if d is None else d, v)
+    assert Counter(key(r["doc_id"], r["votes"]) for r in got) == Counter(key(d, plain_votes(text_of(t))) for d, t in texts)
+    want = plain_posteriors(Counter(plain_votes(text_of(t)) for _, t in texts))
+    for r in got:
+        assert abs(r["posterior"] - want[r["votes"]]) < 1e-6
+    # scores by plain sums with the weights of a fit on the same soft labels, rows in another order
+    features = quality.Features()
+    made = [(features.of(text_of(t), plain_votes(text_of(t))), want[plain_votes(text_of(t))]) for _, t in texts]
+    row = np.repeat(np.arange(len(made)), [len(at) for (at, _), _ in made])
+    at, x = np.concatenate([a for (a, _), _ in made]), np.concatenate([v for (_, v), _ in made])
+    w, b = quality.fit(np.array([y for _, y in made]), row, at, x)
+    plain = {(-1 if d is None else d, round(1 / (1 + math.exp(-(b + sum(w[i] * v for i, v in zip(*f))))), 4)) for (d, _), (f, _) in zip(texts, made)}
+    scored = {(-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got}
+    assert all(any(d == e and abs(s - z) < 0.05 for e, z in plain) for d, s in scored)
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = random.Random(1)
     k = len(quality.LABELLERS)
