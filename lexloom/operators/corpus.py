@@ -184,3 +184,12 @@ def readable(rows: DataFrame, time_col: str, needed: Sequence[str] = ()) -> Data
 def naive_utc(seconds: Column) -> Column:
     """Seconds since 1970 as a time without a zone, in UTC whatever the session's zone."""
     return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def row_index(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with a gapless ``row_index`` from 0 in the order of a column, numbered range by range; ties in no order."""
+    dealt = stored(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "indexed")
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_rn", place).join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_rn") - 1).alias("row_index"), *rows.columns)

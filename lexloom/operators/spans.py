@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANK = {"high": 3, "medium": 2, "low": 1}
@@ -28,11 +29,17 @@ FLOOR = ("ambiguous", "low", "gap")
 _END = re.compile(r"[.!?\n]")
 
 
-def sentence_bounds(text: str, start: int, end: int) -> tuple[int, int]:
-    """The sentence or sentences that hold ``[start, end)``."""
-    a = max((m.end() for m in _END.finditer(text, 0, start)), default=0)
-    m = _END.search(text, max(end - 1, start))
-    b = m.end() if m else len(text)
+def sentence_ends(text: str) -> list[int]:
+    return [m.end() for m in _END.finditer(text)]
+
+
+def sentence_bounds(text: str, start: int, end: int, ends: Sequence[int] | None = None) -> tuple[int, int]:
+    """The sentence or sentences that hold ``[start, end)``; ``ends`` are the text's, found once for all its spans."""
+    ends = sentence_ends(text) if ends is None else ends
+    i = bisect_right(ends, start)
+    a = ends[i - 1] if i else 0
+    j = bisect_left(ends, max(end - 1, start) + 1)
+    b = ends[j] if j < len(ends) else len(text)
     while a < start and text[a].isspace():
         a += 1
     return a, b
@@ -41,32 +48,44 @@ def sentence_bounds(text: str, start: int, end: int) -> tuple[int, int]:
 def find_spans(text: str, rules: Sequence[tuple[str, str, str, str]] = RULES) -> list[tuple[int, int, str, str, str]]:
     """All matches, widened to sentences unless they fill lines; negated reports are left out."""
     out = []
+    ends = sentence_ends(text)
     for pattern, label, confidence, note in rules:
         for m in re.finditer(pattern, text):
             if m.start() == m.end():
                 continue
-            if label == "model_paraphrased":
-                a, b = sentence_bounds(text, m.start(), m.end())
-                if NEGATED.search(text, a, m.start()):
-                    continue
-            elif label == "user":
-                a, b = sentence_bounds(text, m.start(), m.end())
-            else:
-                a, b = m.start(), m.end()
+            a, b = m.span()
+            if label in ("model_paraphrased", "user"):
+                a, b = sentence_bounds(text, a, b, ends)
+            if label == "model_paraphrased" and NEGATED.search(text, a, m.start()):
+                continue
             out.append((a, b, label, confidence, note))
     return out
 
 
 def resolve(spans: Sequence[tuple[int, int, str, str, str]], size: int) -> list[tuple[int, int, str, str, str]]:
-    """A sorted, disjoint, gapless cover of ``[0, size)``: more confident spans win, then the label, the start and the length."""
+    """A sorted, disjoint, gapless cover of ``[0, size)``: more confident spans win, then the label, the start and the length.
+
+    What is taken is kept in order, so a span looks only at those it overlaps.
+    """
+    starts: list[int] = []
     taken: list[tuple[int, int, str, str, str]] = []
-    for a, b, label, confidence, note in sorted(spans, key=lambda s: (-RANK[s[3]], s[2], s[0], s[0] - s[1])):
-        free = [(max(0, a), min(size, b))]
-        for x, y, *_ in taken:
-            free = [p for lo, hi in free for p in ((lo, min(hi, x)), (max(lo, y), hi)) if p[0] < p[1]]
-        taken += [(lo, hi, label, confidence, note) for lo, hi in free]
+    for a, b, *rest in sorted(spans, key=lambda s: (-RANK[s[3]], s[2], s[0], s[0] - s[1])):
+        at, b = max(0, a), min(size, b)
+        i = bisect_right(starts, at)
+        if i and taken[i - 1][1] > at:
+            at = taken[i - 1][1]
+        while at < b:
+            until = min(b, starts[i]) if i < len(starts) else b
+            if until > at:
+                starts.insert(i, at)
+                taken.insert(i, (at, until, *rest))
+                i += 1
+            if i >= len(starts) or starts[i] >= b:
+                break
+            at = taken[i][1]
+            i += 1
     out, at = [], 0
-    for s in sorted(taken):
+    for s in taken:
         if s[0] > at:
             out.append((at, s[0], *FLOOR))
         out.append(s)
@@ -163,3 +182,43 @@ def parse_response(raw: str, labels: Sequence[str], default: tuple[str, str]) ->
     label = next((x for x in labels if re.search(rf"\b{re.escape(x)}\b", raw, re.I)), None)
     conf = next((c for c in RANK if re.search(rf"\b{c}\b", raw, re.I)), None)
     return (label, conf or "low") if label else default
+
+
+def with_fallback(spans: DataFrame, classify: Callable[[list[str]], list[str]], labels: Sequence[str], budget: int, floor: Sequence[str] = ("ambiguous",)) -> DataFrame:
+    """``spans`` with the labels of a fallback classifier for at most ``budget`` of those the rules left open, the longest first.
+
+    ``classify`` is the plug-in: texts to raw answers, a batch at a time; what an answer doesn't say stays as it was. The budget is the operator's
+    feature, a bound on calls; its rows are few and go through one task.
+    """
+    order = (F.desc(F.length("span_text")), "row_id", "span_index")
+    picked = spans.where(F.col("label").isin(*floor)).orderBy(*order).limit(budget)
+    kind = spans.schema["row_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, before, conf = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            said = [parse_response(raw, labels, (b, c)) for raw, b, c in zip(classify(texts), before, conf, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.string())], ["row_id", "span_index", "_label", "_confidence"])
+
+    asked = picked.select("row_id", "span_index", "span_text", "label", "confidence").mapInArrow(run, f"row_id {kind}, span_index int, _label string, _confidence string")
+    joined = spans.join(F.broadcast(asked), ["row_id", "span_index"], "left")  # at most ``budget`` rows
+    source = F.when(F.col("_label").isNotNull() & (F.col("_label") != F.col("label")), F.lit("fallback")).otherwise(F.col("source"))
+    return joined.withColumn("source", source).withColumn("label", F.coalesce("_label", "label")).withColumn("confidence", F.coalesce("_confidence", "confidence")).drop("_label", "_confidence").select(*spans.columns)
+
+
+def validation_sample(spans: DataFrame, per_label: int, seed: int = 42) -> DataFrame:
+    """``(row_id, stratum, spans)``: per label up to ``per_label`` texts whose first span has it, by a seeded order, with all their spans as JSON in order."""
+    first = spans.where("span_index = 0").select("row_id", F.col("label").alias("stratum"))
+    order = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f"|{seed}")))
+    own = first.withColumn("_rn", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "row_id"))).where(F.col("_rn") <= per_label).drop("_rn")
+    nested = spans.join(F.broadcast(own.select("row_id")), "row_id", "left_semi").groupBy("row_id").agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct("span_index", "span_start", "span_end", "label", "confidence", "span_text")))).alias("spans")
+    )
+    return own.join(nested, "row_id")
+
+
+def extractor_yield(found: DataFrame, methods: str = "sources") -> DataFrame:
+    """``(method, n, share, rows)``: quotes by method, their share of all quotes and the texts that have one."""
+    each = found.select("row_id", F.explode(methods).alias("method"))
+    c = each.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("rows"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_all")))).select("method", "n", (F.col("n") / F.col("_all").cast("double")).alias("share"), "rows")

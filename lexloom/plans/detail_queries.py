@@ -350,3 +350,27 @@ def near_dup_removed(spark, d):
 @query("json_summary", "select source, '{\"n\":' || count(*) || ',\"longest\":' || max(n_chars) || '}' as summary from documents group by source")
 def json_summary(spark, d):
     return docs(spark, d).groupBy("source").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"))).alias("summary"))
+
+
+#: Words and their base forms; a caller's dictionary takes its place.
+LEMMAS = {"rests": "rest", "rested": "rest", "resting": "rest", "licenses": "license", "licensed": "license", "thes": "the"}
+
+
+@query("lemma_counts", f"with t as (select unnest({RAW_TK}) as w from documents), l as (select coalesce(map {{{', '.join(f'{k!r}: {v!r}' for k, v in LEMMAS.items())}}}[w], w) as lemma from t), c as (select lemma, count(*) as n from l group by 1) select lemma, n, row_number() over (order by n desc, lemma) as rank from c qualify rank <= 100")
+def lemma_counts(spark, d):
+    held = tx.lemmas(tx.tokens(F.col("text")), F.create_map(*[F.lit(x) for kv in LEMMAS.items() for x in kv]))
+    return fq.top(fq.gram_counts(docs(spark, d), held, name="lemma"), 100, name="lemma")
+
+
+@query("post_features", f"""with t as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, length(text) as n_chars, len({RAW_TK}) as n_tokens, len(list_distinct({RAW_TK})) as n_types, length(text) - length(replace(text, '?', '')) as n_asked, length(text) - length(replace(text, '!', '')) as n_exclaimed,
+len(list_filter({RAW_TK}, lambda t: list_contains({STOP_SQL}, t))) as n_stops, contains(lower(text), 'license') as licensed, regexp_matches(text, 'https?://') as linked, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, len(regexp_extract_all(text, '[.!?]+')) as n_ends from t""")
+def post_features(spark, d):
+    """A row of features for each document in one pass."""
+    rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", tx.tokens(F.col("text")))
+    gone = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("long")
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("tk").cast("long").alias("n_tokens"), F.size(F.array_distinct("tk")).cast("long").alias("n_types"), gone("?").alias("n_asked"), gone("!").alias("n_exclaimed"),
+        F.size(F.filter("tk", lambda t: t.isin(*tx.STOPS))).cast("long").alias("n_stops"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"), F.col("text").rlike("https?://").alias("linked"), count("[0-9]+").alias("n_numbers"), count("[.!?]+").alias("n_ends"),
+    )

@@ -63,3 +63,13 @@ def quote_extraction(spark, d):
 @query("density_clusters")
 def density_clusters(spark, d):
     return clustering.cluster_groups(table(spark, d, "embeddings"), "vec_id", "embedding", "label", (5, 10))
+
+
+@query("validation_sample")
+def validation_sample(spark, d):
+    return spans.validation_sample(spans.segment(_turns(spark, d), "row_id", "text"), 10)
+
+
+@query("extractor_yield")
+def extractor_yield(spark, d):
+    return spans.extractor_yield(spans.quotes(_turns(spark, d), "row_id", "text"))

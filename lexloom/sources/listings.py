@@ -51,22 +51,43 @@ def pages(fetch: Fetch, listing: str, start: int, end: int, page: int = 100, mos
     raise RuntimeError(f"{listing} has more than {most_pages} pages in the window; nothing before {before} was read")
 
 
-def read_listings(spark: SparkSession, listings: list[str], fetch: Fetch, start: int, end: int) -> DataFrame:
-    """One task per listing; posts become title and text, comments their body; first of each id stays."""
-    from pyspark.sql import Window
+def record(r: dict[str, Any], source: str) -> tuple:
+    """A post's title and text, or a comment's body, in the columns of ``POST``."""
+    import pandas as pd
+
+    comment = "body" in r
+    body = r["body"] if comment else f"{r.get('title', '')} {r.get('selftext') or ''}".strip()
+    return (r.get("link_id", r["id"]), body, pd.Timestamp(r["created_utc"], unit="s"), r.get("subreddit"), "comment" if comment else "post", r["id"] if comment else None, r.get("parent_id"), source)
+
+
+def _read(rows: DataFrame, each: Callable[..., Iterator[dict[str, Any]]]) -> DataFrame:
+    """A task per row of ``rows``, whose values are the arguments of ``each``; of each id the first by source stays."""
+    names = [c.split()[0] for c in POST.split(", ")]
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for name in pdf["listing"]:
-                rows = []
-                for r in pages(fetch, name, start, end):
-                    comment = "body" in r
-                    rows.append((r.get("link_id", r["id"]), r["body"] if comment else f"{r.get('title', '')} {r.get('selftext') or ''}".strip(), pd.Timestamp(r["created_utc"], unit="s"), r.get("subreddit"), "comment" if comment else "post", r["id"] if comment else None, r.get("parent_id"), name))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in POST.split(", ")])
+            for args in pdf.itertuples(index=False, name=None):
+                yield pd.DataFrame([record(r, ":".join(map(str, args))) for r in each(*args)], columns=names)
+
+    got = rows.mapInPandas(run, POST)
+    first = got.groupBy(F.coalesce("comment_id", "post_id").alias("_id")).agg(F.min_by(F.struct(*names), "source").alias("_r"))
+    return first.select("_r.*")
+
 
+def read_listings(spark: SparkSession, listings: list[str], fetch: Fetch, start: int, end: int) -> DataFrame:
+    """One task per listing; posts become title and text, comments their body; first of each id stays."""
     names = spark.createDataFrame([(x,) for x in listings], "listing string").repartition(max(1, len(listings)), "listing")
-    got = names.mapInPandas(run, POST)
-    w = Window.partitionBy(F.coalesce("comment_id", "post_id")).orderBy("source")
-    return got.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _read(names, lambda name: pages(fetch, name, start, end))
+
+
+def read_searches(spark: SparkSession, queries: list[str], sorts: list[str], fetch: Callable[[str, str], list[dict[str, Any]]], start: int, end: int) -> DataFrame:
+    """One task for each query and sort; ``fetch(query, sort)`` gives what a search finds, of which the window ``[start, end]`` stays."""
+    asked = spark.createDataFrame([(q, s) for q in queries for s in sorts], "query string, sort string").repartition(max(1, len(queries) * len(sorts)), "query", "sort")
+    return _read(asked, lambda q, s: (r for r in with_retries(lambda: fetch(q, s)) if start <= r["created_utc"] <= end))
+
+
+def read_comments(posts: DataFrame, fetch: Callable[[str, int], list[dict[str, Any]]], start: int, end: int, most: int = 50) -> DataFrame:
+    """Comments of the posts in ``posts`` (``post_id``), of each the first ``most`` that its listing gives, in the window ``[start, end]``."""
+    return _read(posts.select("post_id").where("post_id is not null").distinct(), lambda i: (r for r in with_retries(lambda: fetch(i, most))[:most] if start <= r["created_utc"] <= end))
