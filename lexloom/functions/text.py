@@ -17,6 +17,21 @@ STOPS = (
     "his", "her", "she", "him", "its", "our", "out", "who", "whom", "what", "which", "when", "where", "will", "would", "can", "could", "into", "than", "then",
 )
 
+# What stands before a keyword in a directive, and a small lexicon of emotions in ten categories.
+IMPERATIVE_BEFORE = ("you should", "go", "try", "you need to", "you need", "please", "just", "should", "must")
+EMOTIONS = {
+    "fear": ("afraid", "scared", "anxious", "worried", "panic", "dread", "nervous", "terror", "fright"),
+    "anger": ("angry", "mad", "furious", "rage", "annoyed", "irritated", "frustrated", "pissed", "livid"),
+    "anticipation": ("hope", "expect", "wait", "tomorrow", "soon", "future", "plan", "ahead", "coming"),
+    "trust": ("trust", "believe", "honest", "loyal", "faith", "confident", "rely", "safe"),
+    "surprise": ("surprise", "wow", "shock", "unexpected", "sudden", "amazed", "astonished", "gasp"),
+    "sadness": ("sad", "depressed", "down", "blue", "lonely", "miserable", "heartbreaking", "cry", "tears", "grief"),
+    "joy": ("happy", "joy", "great", "love", "wonderful", "delighted", "excited", "thrilled", "cheerful"),
+    "disgust": ("disgust", "gross", "awful", "horrible", "nasty", "revolting", "sick"),
+    "positive": ("good", "great", "amazing", "wonderful", "love", "happy", "awesome", "best", "perfect"),
+    "negative": ("bad", "awful", "terrible", "hate", "worst", "horrible", "sad", "wrong", "broken", "tired", "exhausted"),
+}
+
 
 def words(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -199,3 +214,12 @@ def seed_match(text: Column, term: str, action: str, valid: bool = True) -> Colu
     if action == "regex" and valid:
         return text.rlike(f"(?i){term}")
     return F.contains(F.lower(text), F.lit(term.lower()))
+
+
+def imperative_context(left: Column) -> Column:
+    """Whether the text to the left of a keyword ends in a directive, is empty or ends a sentence."""
+    low = F.trim(F.lower(left))
+    after = F.lit(False)
+    for phrase in IMPERATIVE_BEFORE:
+        after = after | F.endswith(low, F.lit(phrase))
+    return after | (low == "") | low.rlike("[.!?]$")

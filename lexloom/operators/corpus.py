@@ -193,3 +193,12 @@ def row_index(rows: DataFrame, order: str) -> DataFrame:
     before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
     place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return dealt.withColumn("_rn", place).join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_rn") - 1).alias("row_index"), *rows.columns)
+
+
+def two_pools(rows: DataFrame, id_col: str, pool: str, first: str, second: str, budget: int, seed: int = 42) -> DataFrame:
+    """``budget`` rows over two pools in proportion to their sizes, each by a seeded order; the first's share is rounded, the second gets the rest."""
+    sizes = {r[pool]: r["c"] for r in rows.where(F.col(pool).isin(first, second)).groupBy(pool).agg(F.count(F.lit(1)).alias("c")).collect()}  # two rows
+    whole = sum(sizes.values())
+    take = int(budget * sizes.get(first, 0) / whole + 0.5) if whole else 0
+    own = [sample(rows.where(F.col(pool) == p), id_col, n, seed) for p, n in ((first, take), (second, budget - take))]
+    return own[0].unionByName(own[1])

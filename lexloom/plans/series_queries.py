@@ -318,3 +318,44 @@ def random_forest(spark, d):
 def forest_importances(spark, d):
     model, _ = _forest(spark, d)
     return spark.createDataFrame(list(zip(FOREST, model.featureImportances.toArray().tolist(), strict=True)), "feature string, importance double")
+
+
+CUES = ("license", "under the", "rest", "http")
+
+
+@query("cue_tallies", f"with t as (select doc_id, lower(coalesce(text, '')) as t, doc_id in (select doc_id from labels) as captured from documents), c as (select unnest(list_filter({list(CUES)!r}, lambda c: contains(t, c))) as cue, captured from t) select cue, count(*) as cued, count(*) filter (captured) as captured, count(*) filter (captured) / count(*)::double as recall from c group by cue")
+def cue_tallies(spark, d):
+    """Per cue the documents that hold it and the share of those that are labelled."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    held = docs(spark, d).select("doc_id", F.explode(F.filter(F.array(*[F.lit(c) for c in CUES]), lambda c: F.contains(low, c))).alias("cue"))
+    marked = held.join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("l")).distinct(), "doc_id", "left")
+    return marked.groupBy("cue").agg(F.count(F.lit(1)).alias("cued"), F.count_if("l").alias("captured")).withColumn("recall", F.col("captured") / F.col("cued").cast("double"))
+
+
+@query("coded_summary", "select lang, count(*) as n, count(quality) as coded, count(*) filter (quality = 1) as good, count(*) filter (quality = 1 and toxic = 0) as clean, count(*) filter (quality = 1 and toxic = 0) / nullif(count(*) filter (quality = 1), 0)::double as clean_share from documents left join labels using (doc_id) group by lang")
+def coded_summary(spark, d):
+    """Codes applied by key, and conditional counts of them."""
+    j = docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    c = j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("coded"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
+    return c.withColumn("clean_share", F.try_divide(F.col("clean").cast("double"), F.col("good")))
+
+
+@query("proportional_pools", """with a as (select doc_id, case when n_chars > 1000 then 'long' else 'short' end as pool, md5(concat(doc_id, '|42')) as o from documents), s as (select pool, count(*) as c from a group by 1),
+k as (select pool, case when pool = 'long' then round(60.0 * c / (select sum(c) from s))::bigint else 60 - (select coalesce(max(round(60.0 * c / (select sum(c) from s)))::bigint, 0) from s where pool = 'long') end as take from s),
+r as (select doc_id, pool, row_number() over (partition by pool order by o, doc_id) as rn from a) select doc_id, r.pool from r join k using (pool) where rn <= take""")
+def proportional_pools(spark, d):
+    """A budget of 60 rows over two pools in proportion to their sizes; what rounding leaves goes to the second."""
+    rows = docs(spark, d).select("doc_id", F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("pool"))
+    return co.two_pools(rows, "doc_id", "pool", "long", "short", 60)
+
+
+@query("kmeans_means")
+def kmeans_means(spark, d):
+    """Four clusters of the vectors with their sizes and the mean of each value."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    found = KMeans(k=4, seed=42).fit(rows).transform(rows)
+    each = found.select(F.col("prediction").alias("cluster_id"), F.posexplode("embedding").alias("place", "x"))
+    return each.groupBy("cluster_id", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))

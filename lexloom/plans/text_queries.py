@@ -216,9 +216,17 @@ def modal_directives(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"\b(the|that|is) [a-z]+")).cast("long").alias("directives"), (F.regexp_count("text", F.lit(r"\+[0-9]")) + F.regexp_count("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"))).cast("long").alias("temporal"))
 
 
-@query("imperative_context", r"""with h as (select doc_id, unnest(regexp_extract_all(text, '(?:^|[.]|you|in) rest')) as ctx from documents) select doc_id, count(*) as n from h group by doc_id""")
+SPACE_LOW = SPACE.replace("(text,", "(lower(coalesce(text, '')),")
+IMPERATIVE_SQL = "(" + " or ".join(f"ends_with(left_context, '{p}')" for p in tx.IMPERATIVE_BEFORE) + " or left_context = '' or regexp_matches(left_context, '[.!?]$'))"
+
+
+@query("imperative_context", f"""with t as (select doc_id, {SPACE_LOW} as tk from documents), h as (select doc_id, tk, unnest(list_filter(range(1, len(tk) + 1), lambda i: tk[i] = 'rest' or tk[i] = 'the')) as i from t),
+k as (select doc_id, i - 1 as pos, tk[i] as keyword, array_to_string(tk[greatest(i - 5, 1):i - 1], ' ') as left_context from h) select doc_id, pos, keyword, {IMPERATIVE_SQL} as imperative from k""")
 def imperative_context(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?:^|[.]|you|in) rest"), F.lit(0)))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences of a keyword after a directive, or at the start of a text or sentence."""
+    tokens = tx.tokens_space(F.lower(F.coalesce("text", F.lit(""))))
+    found = [fq.kwic(docs(spark, d), ["doc_id"], tokens, (w,), 5) for w in ("rest", "the")]
+    return found[0].unionByName(found[1]).select("doc_id", "pos", "keyword", tx.imperative_context(F.col("left_context")).alias("imperative"))
 
 
 @query("covariates", "select doc_id, cast(doc_id % 24 as int) as hour, length(text) as body_length, cast(lang = 'en' as int) as is_post from documents")
@@ -232,7 +240,30 @@ def sentence_criteria(spark, d):
     return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", "[.!?]+"), lambda s: F.contains(s, F.lit(" the ")) & F.contains(s, F.lit(" and ")))).cast("long").alias("sentences"))
 
 
-@query("emotion_scores", "with t as (select doc_id, " + RAW_TK + " as tk from documents) select doc_id, " + ", ".join(f"len(list_filter(tk, lambda t: list_contains({list(v)!r}, t))) as nrc_{k}" for k, v in {"joy": ("the", "and"), "fear": ("that", "with"), "trust": ("rest", "from")}.items()) + " from t")
+EMOTION_TK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+')"
+
+
+@query("emotion_scores", f"with t as (select doc_id, {EMOTION_TK} as tk from documents) select doc_id, " + ", ".join(f"len(list_filter(tk, lambda t: list_contains({list(v)!r}, t))) as {k}" for k, v in tx.EMOTIONS.items()) + " from t")
 def emotion_scores(spark, d):
-    sets = {"joy": ("the", "and"), "fear": ("that", "with"), "trust": ("rest", "from")}
-    return docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("tk")).select("doc_id", *(tx.lexicon_count(F.col("tk"), F.lit(""), v).alias(f"nrc_{k}") for k, v in sets.items()))
+    """Tokens of each of the ten categories; a token may count in several."""
+    held = docs(spark, d).select("doc_id", tx.tokens_apostrophe(F.lower(F.coalesce("text", F.lit("")))).alias("tk"))
+    return held.select("doc_id", *(tx.lexicon_count(F.col("tk"), F.lit(""), tuple(v)).alias(k) for k, v in tx.EMOTIONS.items()))
+
+
+
+SAMPLED = 50
+WINDOWS = (5, 10, 20)
+
+
+@query("kwic_windows", f"""with t as (select doc_id, {PLAIN} as tk from documents), h as (select doc_id, tk, unnest(list_filter(range(1, len(tk) + 1), lambda i: tk[i] = 'rest')) as i from t),
+s as (select * from h order by md5(concat(doc_id, '|', i - 1, '|42')), doc_id, i limit {SAMPLED})
+select doc_id, i - 1 as pos, w as width, array_to_string(tk[greatest(i - w, 1):i - 1], ' ') as left_context, array_to_string(tk[i + 1:i + w], ' ') as right_context from s, (values (5), (10), (20)) as v(w)""")
+def kwic_windows(spark, d):
+    """One seeded sample of occurrences, shown in every width."""
+    widest = max(WINDOWS)
+    hits = docs(spark, d).select("doc_id", F.explode(tx.around_phrase(tx.tokens_plain(F.col("text")), ("rest",), widest)).alias("h")).select("doc_id", (F.col("h.at") - 1).cast("long").alias("pos"), "h.left", "h.right")
+    order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("pos").cast("string"), F.lit("|42")).cast("binary"))
+    chosen = hits.orderBy(order, "doc_id", "pos").limit(SAMPLED)
+    shown = chosen.select("doc_id", "pos", "left", "right", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("width"))
+    left = F.slice("left", F.greatest(F.size("left") - F.col("width") + 1, F.lit(1)), F.col("width"))
+    return shown.select("doc_id", "pos", "width", F.array_join(left, " ").alias("left_context"), F.array_join(F.slice("right", F.lit(1), F.col("width")), " ").alias("right_context"))
