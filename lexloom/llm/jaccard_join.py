@@ -92,9 +92,9 @@ def first_of(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit per shingle by its low bits, in at least four times as many bits as shingles up to ``MAX_BITS``."""
+    """A bit per shingle by its low bits, in at least twice as many bits as shingles up to ``MAX_BITS``."""
     width = MIN_BITS
-    while width < 4 * len(s) and width < MAX_BITS:
+    while width < 2 * len(s) and width < MAX_BITS:
         width *= 2
     flags = np.zeros(width, dtype=bool)
     flags[s & np.uint64(width - 1)] = True
@@ -139,7 +139,7 @@ class Order:
 
 
 def _routed(shared, full: bool):
-    """Rows ``token, node`` for nodes whose first shingles are all among the stored ones; or (``full``) the other nodes."""
+    """Rows ``token, node, n`` for nodes whose first shingles are all among the stored ones; or (``full``) the other nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("jaccard")
@@ -161,7 +161,7 @@ def _routed(shared, full: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[lacking], pa.int64())], ["node"])
             else:
                 use = cold & ~lacking[row] & (before[:-1] - before[ends[:-1]][row] < need[row])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[use].view(np.int64)), pa.array(nodes[row[use]])], ["token", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[use].view(np.int64)), pa.array(nodes[row[use]]), pa.array(n[row[use]])], ["token", "node", "n"])
 
     return run
 
@@ -411,26 +411,34 @@ def _hot_tokens(scratch: Scratch, nodes: DataFrame, hot: int, hot_tokens: int) -
     return found
 
 
+def _with_partner(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of buckets without the nodes that no other node of their bucket is close to in size; none of those could link there."""
+    line = Window.partitionBy(*keys).orderBy("n")
+    near = (F.lead("n").over(line) * NUM <= F.col("n") * DEN) | (F.col("n") * NUM <= F.lag("n").over(line) * DEN)
+    return rows.withColumn("_near", near).where("_near").drop("_near")
+
+
 def _buckets(scratch: Scratch, nodes: DataFrame, reps: DataFrame, source: DataFrame, hot: int, hot_tokens: int) -> DataFrame:
     """``key, node, cnt, weight, hub`` of buckets with more than one node."""
     shared = scratch.spark.sparkContext.broadcast(_hot_tokens(scratch, nodes, hot, hot_tokens))
     stems = nodes.select("node", "n", "pre")
-    cold = arrow_map(stems, _routed(shared, False), "token long, node long")
     rich = scratch.keep(arrow_map(stems, _routed(shared, True), "node long").join(reps, "node"), "rich")
     texts = source.join(sized(rich.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi").select("text")
     routed = arrow_map(texts, _routed_texts(shared), "hi long, lo long, tokens array<long>, hot array<boolean>").dropDuplicates(["hi", "lo"])
-    again = routed.join(sized(rich.select("hi", "lo", "node")), ["hi", "lo"]).select("node", F.explode(F.arrays_zip("tokens", "hot")).alias("t"))
-    again = scratch.keep(again.select(F.col("t.tokens").alias("token"), "node", F.col("t.hot").alias("hot")), "rich-tokens")
+    again = routed.join(sized(rich.select("hi", "lo", "node", "n")), ["hi", "lo"]).select("node", "n", F.explode(F.arrays_zip("tokens", "hot")).alias("t"))
+    again = scratch.keep(again.select(F.col("t.tokens").alias("token"), "node", "n", F.col("t.hot").alias("hot")), "rich-tokens")
     scratch.drop(rich)
-    same = (F.count(F.lit(1)).alias("cnt"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("top"))
     # hot shingles may be those of any number of near copies: counted with a map-side combine and joined
-    warm = again.where("hot").select("token", "node")
-    warm = warm.join(warm.groupBy("token").agg(*same).where("cnt > 1"), "token")
-    # others are bounded by the count of the hot ones, so their rows are shuffled once
+    warm = again.where("hot").select("token", "node", "n")
+    counts = warm.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("hub"), F.max("node").alias("top")).where("cnt > 1")
+    warm = warm.join(counts, "token")
+    # others have at most as many rows as the count of what isn't hot allows, so their rows are shuffled once and put together there
+    cold = arrow_map(stems, _routed(shared, False), "token long, node long, n long").unionByName(again.where("not hot").select("token", "node", "n"))
     over = Window.partitionBy("token")
-    cold = cold.unionByName(again.where("not hot").select("token", "node")).select("token", "node", *(c.over(over) for c in (F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node"))))
-    cold = cold.toDF("token", "node", "cnt", "x", "hub", "top").where("cnt > 1")
-    rows = cold.unionByName(warm.select(*cold.columns)).select(F.xxhash64("cnt", "x", "hub", "top").alias("key"), "node", "cnt", F.lit(0).cast("long").alias("weight"), "hub")
+    cold = _with_partner(cold.repartition("token"), "token").select(
+        "token", "node", "n", *(c.over(over) for c in (F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")))
+    ).toDF("token", "node", "n", "cnt", "x", "hub", "top")
+    rows = cold.where("cnt > 1").unionByName(warm.select(*cold.columns)).select(F.xxhash64("cnt", "x", "hub", "top").alias("key"), "node", "cnt", F.lit(0).cast("long").alias("weight"), "hub")
     made = scratch.keep(rows.dropDuplicates(["key", "node"]), "buckets")
     scratch.drop(again)
     return made
@@ -465,11 +473,14 @@ def _components(scratch: Scratch, source: DataFrame, unit_nodes: int, unit_shing
     signed = arrow_map(source, _signed, f"doc_id {ids}, n long, hi long, lo long, pre array<long>, bits binary")
     signed = scratch.keep(signed.withColumn("row", F.monotonically_increasing_id()), "sets")
     known = signed.where("hi is not null and doc_id is not null")
-    # a node is known by the smallest row of its set
-    reps = scratch.keep(known.groupBy("hi", "lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
-    nodes = known.join(sized(reps.select(F.col("node").alias("row"))), "row", "left_semi").select(F.col("row").alias("node"), "n", "pre", "bits")
+    # a node is known by the smallest row of its set; the other rows of it are few, or many of few sets
+    reps = scratch.keep(known.groupBy("hi", "lo").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "nodes")
+    copies = known.select("row", "hi", "lo").join(sized(reps.where("rows > 1").select("hi", "lo", "node")), ["hi", "lo"]).where("row <> node").select("row")
+    nodes = known.join(sized(scratch.keep(copies, "copies")), "row", "left_anti").select(F.col("row").alias("node"), "n", "pre", "bits")
     buckets = _buckets(scratch, nodes, reps, source, hot, hot_tokens)
-    close = _bucket_links(scratch, buckets, lambda rows: _in_units(rows.join(nodes.select("node", "n", "bits"), "node").select("unit", "side", "node", "grp", "n", "bits"), False), unit_nodes, unit_shingles)
+    scratch.sweep()
+    signs = nodes.select("node", "n", "bits")
+    close = _bucket_links(scratch, buckets, lambda rows: _in_units(rows.hint("merge").join(signs, "node").select("unit", "side", "node", "grp", "n", "bits"), False), unit_nodes, unit_shingles)
     families = scratch.keep(connected_components(close).join(reps, "node"), "families")
     scratch.drop(buckets, close)
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("cnt"), F.sum("n").alias("weight"))
