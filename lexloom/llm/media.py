@@ -137,7 +137,7 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [(d, c) for (_, d), c in zip(chunks_in(recipe), chunks, strict=True) if c is not None]
             if held:
                 digests, data = zip(*held, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(held), pa.string()), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["owner", "digest", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(held), pa.binary()), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["owner", "digest", "data"])
 
 
 def features(data: bytes) -> str:
@@ -168,7 +168,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     data[d] = part
                 if part is None or len(part) != n or hashlib.sha256(part).digest() != d:
-                    raise ValueError(f"chunk {d.hex()} of text {batch.column(1)[i]} is missing or damaged")
+                    raise ValueError(f"chunk {d.hex()} of text {batch.column(1)[i].as_py().hex()} is missing or damaged")
                 media.update(part)
                 size += n
                 parts.append(part)
@@ -195,9 +195,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "media")
     try:
-        rows = docs.select(named(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("key"), text_or_empty(text_col).alias("text"))
+        rows = docs.select(named(id_col).alias("doc_id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("key"), text_or_empty(text_col).alias("text"))
         ids = rows.schema["doc_id"].dataType.simpleString()
-        lists = scratch.keep(arrow_map(rows, _listed, f"doc_id {ids}, key string, digests array<binary>"), "lists")
+        lists = scratch.keep(arrow_map(rows, _listed, f"doc_id {ids}, key binary, digests array<binary>"), "lists")
         several = scratch.keep(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
         digests = lists.select("key", F.explode(F.array_distinct("digests")).alias("digest"))
         owners = scratch.keep(digests.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").select("digest", "owner"), "owners")
@@ -207,9 +207,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         apart = sized(scratch.keep(several.unionByName(moved.select("key")).distinct(), "apart"))
         plain = rows.join(apart, "key", "left_anti").select("doc_id", "key", "text", F.lit(None).cast("array<binary>").alias("skip"))
         once = rows.join(apart, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        once = once.join(sized(several).withColumn("_many", F.lit(True)), "key", "left").join(skips, "key", "left")
+        once = once.join(sized(several).withColumn("_many", F.lit(True)), "key", "left").join(skips.hint("merge"), "key", "left")
         once = once.select(F.when(F.col("_many").isNull(), F.col("doc_id")).alias("doc_id"), "key", "text", "skip")
-        schema = f"doc_id {ids}, key string, n_bytes long, recipe binary, chunks array<binary>"
+        schema = f"doc_id {ids}, key binary, n_bytes long, recipe binary, chunks array<binary>"
         return Media(stored(arrow_map(plain.unionByName(once), _stored_rows, schema), "media"), moved, copies)
     finally:
         scratch.close()
@@ -221,18 +221,18 @@ def read_media(store: Media) -> DataFrame:
     ids = texts.schema["doc_id"].dataType.simpleString()
     # the chunks wanted elsewhere, read from their owner's row
     owners = texts.select("key", "recipe", "chunks").join(sized(moved.select(F.col("owner").alias("key")).distinct()), "key", "left_semi")
-    live = arrow_map(owners, _owned, "owner string, digest binary, data binary")
-    brought = moved.join(live, ["digest", "owner"]).groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("extra"))
+    live = arrow_map(owners, _owned, "owner binary, digest binary, data binary")
+    brought = moved.hint("merge").join(live, ["digest", "owner"]).groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("extra"))
     lacking = sized(moved.select("key").distinct())
     columns = ("doc_id", "key", "n_bytes", "recipe", "chunks", "extra")
     whole = texts.join(lacking, "key", "left_anti").withColumn("extra", F.lit(None).cast("array<struct<digest:binary,data:binary>>"))
-    both = whole.select(*columns).unionByName(texts.join(lacking, "key", "left_semi").join(brought, "key").select(*columns))
-    schema = f"doc_id {ids}, key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+    both = whole.select(*columns).unionByName(texts.join(lacking, "key", "left_semi").join(brought.hint("merge"), "key").select(*columns))
+    schema = f"doc_id {ids}, key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     measured = arrow_map(both, _read, schema)
     several = store.copies.select("key").distinct()
     kept = stored(measured.join(sized(several), "key", "left_semi").drop("doc_id"), "media-copied")
     single = measured.join(sized(several), "key", "left_anti")
-    return single.drop("key").unionByName(store.copies.join(kept, "key").drop("key"))
+    return single.drop("key").unionByName(store.copies.hint("merge").join(kept, "key").drop("key"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
