@@ -44,7 +44,7 @@ def flat_collocation(rows: DataFrame, id_col: str, tk: Column, anchors: Sequence
     counts = held.select(F.explode("tk").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     total = counts.agg(F.sum("freq").alias("total"))
     at = tx.let(F.col("tk"), lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin(*anchors), F.struct(x.alias("anchor"), i.alias("i"), tx.left_of(t, i + 1, w).alias("left"), tx.right_of(t, i + 1, 1, w).alias("right")))), lambda h: h.isNotNull()))
-    hits = held.select("start", "n", F.explode(at).alias("h")).select("start", "n", F.col("h.anchor").alias("anchor"), (F.col("start") + F.col("h.i")).alias("at"), F.concat("h.left", "h.right").alias("near"))
+    hits = held.where(F.arrays_overlap("tk", tx.words(anchors))).select("start", "n", F.explode(at).alias("h")).select("start", "n", F.col("h.anchor").alias("anchor"), (F.col("start") + F.col("h.i")).alias("at"), F.concat("h.left", "h.right").alias("near"))
     inside = hits.select("anchor", "at", F.explode("near").alias("collocate"))
     places = hits.where((F.col("at") - w < F.col("start")) | (F.col("at") + w >= F.col("start") + F.col("n"))).select("start", "n", "anchor", "at", F.explode(F.expr(f"sequence(at - {w}, at + {w})")).alias("gpos"))
     outside = places.where((F.col("gpos") < F.col("start")) | (F.col("gpos") >= F.col("start") + F.col("n"))).join(edge_stream(held, w).withColumnRenamed("token", "collocate"), "gpos").select("anchor", "at", "collocate")

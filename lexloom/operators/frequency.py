@@ -64,7 +64,9 @@ def token_table(rows: DataFrame, id_col: str, tk: Column) -> DataFrame:
     task. Ids may be of any type that sorts; a null text has no tokens.
     """
     kind = rows.schema[id_col].dataType.simpleString()
-    dealt = rows.select(F.col(id_col).alias("doc"), F.coalesce(tk, F.array().cast("array<string>")).alias("tk")).repartitionByRange("doc").sortWithinPartitions("doc")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small inputs in that many ranges
+    dealt = rows.repartitionByRange(ranges, id_col).sortWithinPartitions(id_col)
+    dealt = dealt.select(F.col(id_col).alias("doc"), F.coalesce(tk, F.array().cast("array<string>")).alias("tk"))  # tokenized after the ranges are sampled
     held = stored(dealt.mapInArrow(_offsets, f"doc {kind}, tk array<string>, off long, n long, part int"), "tokens")
     parts = held.groupBy("part").agg(F.sum("n").alias("pn"))
     before = parts.select("part", (F.sum("pn").over(Window.orderBy("part")) - F.col("pn")).alias("before"))  # a row for each range
@@ -73,8 +75,11 @@ def token_table(rows: DataFrame, id_col: str, tk: Column) -> DataFrame:
 
 def edge_stream(held: DataFrame, w: int) -> DataFrame:
     """``(gpos, token, left)``: the first and last ``w`` tokens of each document, where alone a window can leave it; ``left`` counts from the token to the end."""
-    each = held.select("start", "n", F.posexplode("tk").alias("i", "token")).where((F.col("i") < w) | (F.col("i") >= F.col("n") - w))
-    return each.select((F.col("start") + F.col("i")).alias("gpos"), "token", (F.col("n") - F.col("i")).alias("left"))
+    after = F.greatest(F.col("n") - w, F.lit(w)).cast("int")  # 0-based place of the last tokens that aren't among the first
+    head = F.transform(F.slice("tk", F.lit(1), F.lit(w)), lambda t, i: F.struct(i.cast("long").alias("i"), t.alias("token")))
+    tail = F.transform(F.slice("tk", after + 1, F.lit(w)), lambda t, i: F.struct((i + after).cast("long").alias("i"), t.alias("token")))
+    each = held.select("start", "n", F.explode(F.concat(head, tail)).alias("e"))
+    return each.select((F.col("start") + F.col("e.i")).alias("gpos"), F.col("e.token").alias("token"), (F.col("n") - F.col("e.i")).alias("left"))
 
 
 def stream_ngrams(held: DataFrame, n: int) -> DataFrame:
