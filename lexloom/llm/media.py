@@ -32,6 +32,7 @@ from .tables import arrow_map, named, sized, table, text_or_empty, worker_cache
 
 FRAME = 192
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16_384, 11
+HEAVY_SHARE = 4_096
 #: Bytes of payload after which an Arrow batch is handed on.
 BATCH_BYTES = 4_000_000
 
@@ -229,10 +230,14 @@ def read_media(store: Media) -> DataFrame:
     both = whole.select(*columns).unionByName(texts.join(lacking, "key", "left_semi").join(brought.hint("merge"), "key").select(*columns))
     schema = f"doc_id {ids}, key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     measured = arrow_map(both, _read, schema)
-    several = store.copies.select("key").distinct()
-    kept = stored(measured.join(sized(several), "key", "left_semi").drop("doc_id"), "media-copied")
-    single = measured.join(sized(several), "key", "left_anti")
-    return single.drop("key").unionByName(store.copies.hint("merge").join(kept, "key").drop("key"))
+    several = store.copies.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stored(measured.join(sized(several.select("key")), "key", "left_semi").drop("doc_id"), "media-copied")
+    single = measured.join(sized(several.select("key")), "key", "left_anti")
+    # texts with more than a 1 / HEAVY_SHARE of all copies are at most HEAVY_SHARE; their rows aren't dealt by text
+    heavy = F.broadcast(several.where(F.col("_rows") * HEAVY_SHARE > store.copies.count()).select("key"))
+    near = store.copies.join(F.broadcast(kept.join(heavy, "key", "left_semi")), "key")
+    far = store.copies.join(heavy, "key", "left_anti").hint("merge").join(kept, "key")
+    return single.drop("key").unionByName(near.drop("key")).unionByName(far.drop("key"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
