@@ -9,6 +9,7 @@ from lexloom.functions import text as tx
 from lexloom.operators import association as ac
 from lexloom.operators import corpus as cp
 from lexloom.operators import frequency as fq
+from lexloom.operators import grams as gm
 from lexloom.operators import graph as gr
 from lexloom.operators.components import connected_components
 
@@ -31,17 +32,15 @@ c as (select variant, n_tokens, gram, count(*) as n from g group by all) select
 
 @query("freq_variants", VARIANT_SQL)
 def freq_variants(spark, d):
-    """Unigrams, bigrams and trigrams of four preprocessing variants in one pass over the texts."""
-    kinds = {"raw": tx.tokens(F.col("text")), "no_urls": tx.tokens(F.regexp_replace("text", NO_URL, " "))}
-    kinds |= {f"{k}_no_stops": tx.without(t) for k, t in kinds.items()}
-    variants = docs(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), t.alias("tk")) for k, t in kinds.items()])).alias("v")).select("v.variant", "v.tk").where(F.size("tk") > 0)
-
-    def of(n):
-        return lambda gram: F.struct(F.lit(n).alias("n_tokens"), gram.alias("gram"))
-
-    orders = F.flatten(F.array(*[F.transform(tx.ngrams(F.col("tk"), n), of(n)) for n in (1, 2, 3)]))
-    counts = variants.select("variant", F.explode(orders).alias("g")).groupBy("variant", "g.n_tokens", "g.gram").agg(F.count("*").alias("n"))
-    return fq.top(counts, 500, ["variant", "n_tokens"])
+    """Unigrams, bigrams and trigrams of four preprocessing variants; a text without an address has the tokens of both kinds once."""
+    linked = F.col("text").rlike(NO_URL)
+    texts = docs(spark, d).where("text is not null").select(F.explode(F.when(linked, F.array(F.struct(F.lit(1).alias("mask"), "text"), F.struct(F.lit(2).alias("mask"), F.regexp_replace("text", NO_URL, " ").alias("text")))).otherwise(F.array(F.struct(F.lit(3).alias("mask"), "text")))).alias("v"))
+    plain = texts.select(F.col("v.mask").alias("mask"), tx.tokens(F.col("v.text")).alias("tk"))
+    # bits 0 and 1 are the variants with stop words, 2 and 3 those without
+    both = plain.select(F.explode(F.array(F.struct("mask", "tk"), F.struct((F.col("mask") * 4).alias("mask"), tx.without(F.col("tk")).alias("tk")))).alias("v")).select("v.mask", "v.tk")
+    names = F.array(*[F.lit(v) for v in ("raw", "no_urls", "raw_no_stops", "no_urls_no_stops")])
+    found = gm.top_grams(both, "mask", "tk", 4, [gm.ngram(n) for n in (1, 2, 3)], 500)
+    return found.select(F.get(names, F.col("variant")).alias("variant"), (F.col("s") + 1).alias("n_tokens"), "gram", "n", "rank")
 
 
 # --- contingencies and summaries ----------------------------------------------------------------------------------------------------------
