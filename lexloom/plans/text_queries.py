@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
 from lexloom.operators import frequency as fq
+from lexloom.operators import grams as gm
 
 from .registry import query, table
 
@@ -41,12 +42,12 @@ def freq_unigram(spark, d):
 
 @query("freq_bigram", _grams_sql(2))
 def freq_bigram(spark, d):
-    return fq.top(fq.gram_counts(docs(spark, d).select(tk().alias("tk")), tx.ngrams(F.col("tk"), 2)), 200)
+    return gm.top_of(docs(spark, d), tk(), gm.ngram(2), 200)
 
 
 @query("freq_trigram", _grams_sql(3))
 def freq_trigram(spark, d):
-    return fq.top(fq.gram_counts(docs(spark, d).select(tk().alias("tk")), tx.ngrams(F.col("tk"), 3)), 200)
+    return gm.top_of(docs(spark, d), tk(), gm.ngram(3), 200)
 
 
 @query("ngram_stream", f"""
@@ -63,12 +64,12 @@ def _skip_sql(gaps, glue=" "):
 
 @query("skipgram_cumulative", _skip_sql((1, 2, 3)))
 def skipgram_cumulative(spark, d):
-    return fq.top(fq.gram_counts(docs(spark, d).select(tk().alias("tk")), tx.skipgrams(F.col("tk"), (1, 2, 3))), 200)
+    return gm.top_of(docs(spark, d), tk(), gm.gaps(1, 2, 3), 200)
 
 
 @query("skipgram_true", _skip_sql((2, 3), " _ "))
 def skipgram_true(spark, d):
-    return fq.top(fq.gram_counts(docs(spark, d).select(tk().alias("tk")), tx.skipgrams(F.col("tk"), (2, 3), " _ ")), 200)
+    return gm.top_of(docs(spark, d), tk(), gm.gaps(2, 3), 200, " _ ")
 
 
 @query("skipgram_combinations", f"""
@@ -76,7 +77,7 @@ with t as (select {TK} as tk from documents), p as (select tk, unnest(range(1, 4
 q as (select unnest(list_transform(range(1, len(tk) - g + 1), lambda i: {{'gram': tk[i] || ' ' || tk[i + g], 'w': least(i, 4 - g)}})) as x from p)
 select gram, n, row_number() over (order by n desc, gram) as rank from (select x.gram as gram, cast(sum(x.w) as bigint) as n from q group by 1) qualify rank <= 200""")
 def skipgram_combinations(spark, d):
-    return fq.top(fq.combination_skipgrams(docs(spark, d), tk(), 1), 200)
+    return gm.top_of(docs(spark, d), tk(), gm.combinations(1), 200)
 
 
 @query("freq_by_source", f"""

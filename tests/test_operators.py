@@ -356,6 +356,6 @@ def test_top_grams_equal_enumeration_whatever_the_buckets(spark, bits, keep):
 def test_frequency_queries_shuffle_no_rare_grams(spark, tmp_path):
     """A plan that explodes grams and groups them shuffles them all; here what is left to run reads the found ones."""
     spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for name in ("freq_variants",):
+    for name in ("freq_variants", "freq_bigram", "freq_trigram", "skipgram_cumulative", "skipgram_true", "skipgram_combinations"):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "Aggregate" not in plan, name
