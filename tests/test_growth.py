@@ -10,3 +10,18 @@ from lexloom.plans import catalog
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spanning_tree_equals_plain_prim_with_ties_and_copies():
+    rng = np.random.default_rng(5)
+    for n, d in ((2, 3), (150, 1), (150, 2), (300, 64)):
+        x = np.round(rng.normal(size=(n, d)) * 2)
+        away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        inside, best, link, want, at = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), [], 0
+        for _ in range(n - 1):
+            inside[at] = True
+            closer = (away[at] < best) & ~inside
+            best[closer], link[closer] = away[at][closer], at
+            at = int(np.where(inside, np.inf, best).argmin())
+            want.append((float(best[at]), int(link[at]), at))
+        assert clustering.spanning_tree(x) == sorted(want)
