@@ -92,16 +92,21 @@ def flag_association(flags: DataFrame, lexicons: Sequence[str], target: str) ->
 
 def tfidf_top(rows: DataFrame, id_col: str, segment: str, tk: Column, features: int, k: int) -> DataFrame:
     """Top terms per segment: the most frequent terms as features, smooth idf, unit vectors, summed over documents."""
+    from .corpus import small_side
     from .frequency import top
 
     terms = rows.select(F.col(id_col).alias("doc"), F.col(segment).alias("segment"), F.explode(tk).alias("gram"))
-    tf = terms.groupBy("segment", "doc", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = top(tf.groupBy("segment", "gram").agg(F.sum("tf").alias("n")), features, ["segment"]).select("segment", "gram")
-    kept = tf.join(vocab, ["segment", "gram"])
+    counts = terms.groupBy("segment", "gram").agg(F.count(F.lit(1)).alias("n"))
+    vocab = stored(top(counts, features, ["segment"]).select("segment", "gram", F.col("rank").cast("int").alias("at")), "features")
+    # only the features' tokens are dealt by document; a document is one row of places in the vocabulary and counts
+    tf = terms.join(small_side(vocab), ["segment", "gram"]).groupBy("segment", "doc", "at").agg(F.count(F.lit(1)).alias("tf"))
+    docs = stored(tf.groupBy("segment", "doc").agg(F.collect_list(F.struct("at", "tf")).alias("v")).select("segment", "v"), "tf")
     n = rows.groupBy(F.col(segment).alias("segment")).agg(F.count(F.lit(1)).alias("docs"))
-    df = kept.groupBy("segment", "gram").agg(F.count(F.lit(1)).alias("df")).join(n, "segment")
-    idf = df.select("segment", "gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = kept.join(idf, ["segment", "gram"]).withColumn("x", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("segment", "doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    score = weighted.join(norm, ["segment", "doc"]).groupBy("segment", "gram").agg(F.sum(F.col("x") / F.col("norm")).alias("n"))
+    df = docs.select("segment", F.explode("v.at").alias("at")).groupBy("segment", "at").agg(F.count(F.lit(1)).alias("df")).join(n, "segment")
+    idf = df.select("segment", "at", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    held = idf.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "idf"))), lambda s: s["idf"]).alias("idf"))  # places are gapless from 1
+    weighted = docs.join(small_side(held), "segment").select("segment", F.transform("v", lambda e: F.struct(e["at"].alias("at"), (e["tf"] * F.element_at("idf", e["at"])).alias("x"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    unit = weighted.withColumn("norm", norm).select("segment", "norm", F.explode("v").alias("e"))
+    score = unit.groupBy("segment", F.col("e.at").alias("at")).agg(F.sum(F.col("e.x") / F.col("norm")).alias("n")).join(small_side(vocab), ["segment", "at"]).select("segment", "gram", "n")
     return top(score, k, ["segment"]).withColumnRenamed("n", "score")
