@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.session import stored
 
 from .frequency import top
 
 
+#: MB of sums that a task of ``cooccurrence`` holds, rows of a batch that it takes and of one that it hands on.
+MATRIX_MB, BATCH_ROWS, EDGE_ROWS = 64, 1_024, 200_000
+
+
 def vocabulary(rows: DataFrame, tk: Column, size: int, by_documents: bool = False) -> DataFrame:
     """The ``size`` most frequent terms, by tokens or by documents."""
     grams = F.array_distinct(tk) if by_documents else tk
@@ -20,7 +25,10 @@ def vocabulary(rows: DataFrame, tk: Column, size: int, by_documents: bool = Fals
 
 
 def _gram_matrices(terms: list[str], n_keys: int):
-    """Batches of ``keys..., tokens`` to ``keys..., i, j, n``: per key the product of the 0/1 matrix of documents and terms with itself."""
+    """Batches of ``keys..., tokens`` to ``keys..., i, j, n``: per key the product of the 0/1 matrix of documents and terms with itself.
+
+    A task holds ``MATRIX_MB`` of sums (at least one matrix), beside them a block of documents, its product and ``EDGE_ROWS`` rows on their way out.
+    """
 
     def run(batches):
         import numpy as np
@@ -28,15 +36,19 @@ def _gram_matrices(terms: list[str], n_keys: int):
         import pyarrow.compute as pc
 
         listed = pa.array(terms, pa.string())
-        size, block, most = len(terms), 1024, 16
+        size, block = len(terms), 1024
+        most = max(1, int(MATRIX_MB * 1e6 / (4 * size * size or 1)))
         held: dict[tuple, np.ndarray] = {}
         kinds: list = []
 
         def out():
             for key, total in held.items():
-                i, j = np.nonzero(np.triu(total, 1))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(i), t) for k, t in zip(key, kinds)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j].astype(np.int64))], [*(f"k{x}" for x in range(n_keys)), "i", "j", "n"])
+                step = max(1, EDGE_ROWS // (size or 1))
+                for first in range(0, size, step):
+                    rows = total[first : first + step]
+                    i, j = np.nonzero(np.triu(rows, first + 1))
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(i), t) for k, t in zip(key, kinds)), pa.array((i + first).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(rows[i, j].astype(np.int64))], [*(f"k{x}" for x in range(n_keys)), "i", "j", "n"])
             held.clear()
 
         for batch in batches:
@@ -55,7 +67,9 @@ def _gram_matrices(terms: list[str], n_keys: int):
             for key, own in groups.items():
                 if key not in held and len(held) >= most:
                     yield from out()
-                total = held.setdefault(key, np.zeros((size, size)))
+                if key not in held:
+                    held[key] = np.zeros((size, size), np.int32)
+                total = held[key]
                 for a in range(0, len(own), block):
                     part = own[a : a + block]
                     place[:] = -1
@@ -63,7 +77,7 @@ def _gram_matrices(terms: list[str], n_keys: int):
                     use = place[row] >= 0
                     x = np.zeros((len(part), size), dtype=np.float32)
                     x[place[row[use]], col[use]] = 1
-                    total += x.T @ x
+                    total += (x.T @ x).astype(np.int32)  # at most 1024, exact
         yield from out()
 
     return run
@@ -73,17 +87,24 @@ def cooccurrence(rows: DataFrame, tk: Column, vocab: DataFrame, min_edge: int, k
     """Edges ``src < dst`` with the number of documents that hold both terms.
 
     The vocabulary has a bounded size and goes to every task. A task multiplies the matrix of documents and terms with itself block by
-    block, so what is shuffled are its sums, at most one row a task and edge.
+    block, so what is shuffled are its sums, at most one row a task and edge. The edges, bounded by the vocabulary, are written to the shared
+    folder: whoever reads them more than once doesn't count the corpus again.
     """
     terms = sorted(r["term"] for r in vocab.select("term").collect())
     kinds = [f"k{x} {rows.schema[k].dataType.simpleString()}" for x, k in enumerate(keys)]
-    held = rows.select(*keys, F.coalesce(tk, F.array().cast("array<string>")).alias("_tk"))
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # a document brings each term of the bounded vocabulary once at most, whatever its length
+    known = F.array_distinct(F.filter(tk, lambda t: t.isin(terms))) if terms else F.array().cast("array<string>")
+    held = rows.select(*keys, known.alias("_tk")).where(F.size("_tk") > 1)
     cells = held.mapInArrow(_gram_matrices(terms, len(keys)), ", ".join([*kinds, "i int, j int, n long"]))
     names = [f"k{x}" for x in range(len(keys))]
     edges = cells.groupBy(*names, "i", "j").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_edge)
     listed = rows.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")  # the bounded vocabulary
     src, dst = (F.broadcast(listed.select(F.col("i").alias(at), F.col("term").alias(name))) for at, name in (("i", "src"), ("j", "dst")))
-    return edges.join(src, "i").join(dst, "j").select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "src", "dst", "weight")
+    named = edges.join(src, "i").join(dst, "j").select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "src", "dst", "weight")
+    return stored(named, "edges")
 
 
 def central_terms(members: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
@@ -135,6 +156,36 @@ def ego(edges: DataFrame, seeds: Sequence[str]) -> DataFrame:
     return edges.join(near.withColumnRenamed("term", "src"), "src").join(near.withColumnRenamed("term", "dst"), ["seed", "dst"]).select("seed", "src", "dst", "weight")
 
 
+class _Rows:
+    """A weighted graph as sorted rows of neighbours in flat arrays; weights are whole numbers, so their sums are exact in any order."""
+
+    def __init__(self, a, b, w, n: int) -> None:
+        import numpy as np
+
+        loop = a == b
+        key, at = np.unique(np.concatenate([a, b[~loop]]) * n + np.concatenate([b, a[~loop]]), return_inverse=True)
+        self.n, self.w = n, np.bincount(at, np.concatenate([w, w[~loop]]), len(key))
+        self.i, self.j = key // n, key % n
+        self.start = np.searchsorted(self.i, np.arange(n + 1))
+
+    def strength(self):
+        """Sums of the rows, loops twice."""
+        import numpy as np
+
+        return np.bincount(self.i, self.w * (1 + (self.i == self.j)), self.n)
+
+    def row(self, i: int):
+        """The neighbours of a node but itself, and their weights."""
+        at = slice(self.start[i], self.start[i + 1])
+        j, w = self.j[at], self.w[at]
+        return (j, w) if not (own := j == i).any() else (j[~own], w[~own])
+
+    def merged(self, com, n: int) -> _Rows:
+        """The graph of the communities: each edge once, those inside a community as its loop."""
+        once = self.i <= self.j
+        return _Rows(com[self.i[once]], com[self.j[once]], self.w[once], n)
+
+
 def louvain(edges: DataFrame, resolutions: Sequence[float] = (0.5, 1.0, 2.0), max_edges: int = 2_000_000) -> DataFrame:
     """``(resolution, term, community)`` for a graph of bounded size; one group per resolution, nodes visited in order of name.
 
@@ -144,52 +195,46 @@ def louvain(edges: DataFrame, resolutions: Sequence[float] = (0.5, 1.0, 2.0), ma
         raise ValueError(f"more than {max_edges} edges; bound the vocabulary first")
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
         gamma = float(pdf["resolution"].iloc[0])
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        index = {t: i for i, t in enumerate(names)}
-        adj: list[dict[int, float]] = [{} for _ in names]
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
-            a, b = index[s], index[d]
-            adj[a][b] = adj[a].get(b, 0.0) + float(w)
-            adj[b][a] = adj[b].get(a, 0.0) + float(w)
-        member = list(range(len(names)))
+        names = np.array(sorted(set(pdf["src"]) | set(pdf["dst"])), dtype=object)
+        src, dst = (pd.Categorical(pdf[c], categories=names).codes.astype(np.int64) for c in ("src", "dst"))
+        adj = _Rows(src, dst, pdf["weight"].to_numpy(np.float64), len(names))
+        del src, dst, pdf
+        member = np.arange(len(names))
         while True:
-            n = len(adj)
-            strength = [sum(v.values()) + v.get(i, 0.0) for i, v in enumerate(adj)]
-            whole = sum(strength) or 1.0
-            com, tot, moved = list(range(n)), list(strength), False
+            n = adj.n
+            strength = adj.strength()
+            whole = float(strength.sum()) or 1.0
+            com, tot, moved = np.arange(n), strength.copy(), False
             improving = True
             while improving:
                 improving = False
                 for i in range(n):
                     own = com[i]
                     tot[own] -= strength[i]
-                    to: dict[int, float] = {own: 0.0}
-                    for j, w in adj[i].items():
-                        if j != i:
-                            to[com[j]] = to.get(com[j], 0.0) + w
-                    gain = {c: w - gamma * strength[i] * tot[c] / whole for c, w in to.items()}
-                    best = min(gain, key=lambda c: (-gain[c], c))
-                    if gain[best] <= gain[own] + 1e-12:
-                        best = own
+                    j, w = adj.row(i)
+                    at = com[j]
+                    to = np.bincount(at, w, n)
+                    near = np.zeros(n, bool)
+                    near[at] = near[own] = True
+                    c = np.flatnonzero(near)
+                    gain = to[c] - gamma * strength[i] * tot[c] / whole
+                    k = int(gain.argmax())  # ties: the smallest community
+                    best = own if gain[k] <= gain[np.searchsorted(c, own)] + 1e-12 else c[k]
                     tot[best] += strength[i]
                     if best != own:
                         com[i], improving, moved = best, True, True
-            label = {c: k for k, c in enumerate(dict.fromkeys(com))}
-            member = [label[com[m]] for m in member]
+            _, first, back = np.unique(com, return_index=True, return_inverse=True)
+            label = np.empty(len(first), np.int64)
+            label[np.argsort(first)] = np.arange(len(first))  # in order of their first node
+            com = label[back]
+            member = com[member]
             if not moved:
                 break
-            merged: list[dict[int, float]] = [{} for _ in label]
-            for i, row in enumerate(adj):
-                for j, w in row.items():
-                    a, b = label[com[i]], label[com[j]]
-                    if a != b or i == j:
-                        merged[a][b] = merged[a].get(b, 0.0) + w
-                    elif i < j:
-                        merged[a][a] = merged[a].get(a, 0.0) + w
-            adj = merged
+            adj = adj.merged(com, len(first))
         return pd.DataFrame({"resolution": gamma, "term": names, "community": member})
 
     each = edges.select(F.explode(F.array(*[F.lit(float(r)) for r in resolutions])).alias("resolution"), "src", "dst", "weight")

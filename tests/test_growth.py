@@ -38,3 +38,33 @@ def test_tfidf_reads_documents_of_features_only(spark):
     assert set(found) == {("a", "x"), ("a", "y"), ("b", "x"), ("b", "z")} or set(found) == {("a", "x"), ("a", "rare"), ("b", "x"), ("b", "z")}
     if ("a", "y") in found:
         assert abs(found["a", "x"] - one[0] - 1) < 1e-9
+
+
+def test_edges_are_counted_once_for_all_readers(spark):
+    rows = spark.createDataFrame([(["x", "y", "y", "out"],), (["y", "x"],), (["x"],), (None,), ([],)], "tk array<string>")
+    edges = graph.cooccurrence(rows, F.col("tk"), spark.createDataFrame([("x",), ("y",)], "term string"), 2)
+    assert "MapInArrow" not in plan(edges)
+    assert [tuple(r) for r in edges.collect()] == [("x", "y", 2)]
+
+
+def test_only_terms_of_the_vocabulary_go_to_python(spark, monkeypatch):
+    made = graph._gram_matrices
+
+    def spied(terms, n_keys):
+        run = made(terms, n_keys)
+
+        def checked(batches):
+            def each():
+                for b in batches:
+                    tokens = b.column(n_keys)
+                    assert set(tokens.flatten().to_pylist()) <= set(terms) and b.num_rows <= 1024
+                    yield b
+
+            yield from run(each())
+
+        return checked
+
+    monkeypatch.setattr(graph, "_gram_matrices", spied)
+    rows = spark.range(3000).select(F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("other"), "id")).alias("tk"))
+    edges = graph.cooccurrence(rows, F.col("tk"), spark.createDataFrame([("x",), ("y",)], "term string"), 2)
+    assert [tuple(r) for r in edges.collect()] == [("x", "y", 3000)]
