@@ -263,6 +263,7 @@ def kmeans(spark, d):
 
 
 def _topics(spark, d):
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
@@ -271,7 +272,11 @@ def _topics(spark, d):
     rows = docs(spark, d).select("doc_id", F.coalesce(tk(), F.array().cast("array<string>")).alias("tk"))
     cv = CountVectorizer(inputCol="tk", outputCol="features", vocabSize=1000).fit(rows)
     counted = cv.transform(rows)
-    return cv.vocabulary, counted, LDA(k=5, seed=42).fit(counted)
+    held = counted.persist(StorageLevel.DISK_ONLY)  # the fit reads its rows some twenty times; partitions, and so its samples, stay as they are
+    try:
+        return cv.vocabulary, counted, LDA(k=5, seed=42).fit(held)
+    finally:
+        held.unpersist()
 
 
 @query("lda")

@@ -68,3 +68,12 @@ def test_only_terms_of_the_vocabulary_go_to_python(spark, monkeypatch):
     rows = spark.range(3000).select(F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("other"), "id")).alias("tk"))
     edges = graph.cooccurrence(rows, F.col("tk"), spark.createDataFrame([("x",), ("y",)], "term string"), 2)
     assert [tuple(r) for r in edges.collect()] == [("x", "y", 3000)]
+
+
+def test_topics_are_fitted_on_kept_rows(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    fit, seen = LDA.fit, []
+    monkeypatch.setattr(LDA, "fit", lambda self, rows: (seen.append(rows.storageLevel.useDisk), fit(self, rows))[1])
+    assert catalog.QUERIES["lda_topics"](spark, "/root/testdata/sf0.001").count()
+    assert seen == [True] and not spark.sparkContext._jsc.getPersistentRDDs().size()
