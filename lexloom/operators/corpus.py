@@ -79,6 +79,10 @@ def index_quartiles(rows: DataFrame, value: str) -> DataFrame:
     return at.agg(*[F.min(F.when(F.col("upto") > F.expr(f"(n * {q}) div 4"), F.col("v"))).alias(f"q{q}") for q in (1, 2, 3)])
 
 
+#: Blocks of vectors before blocks grow, and vectors that a block has at most (64 values of 4 bytes: 17 MB).
+BLOCKS, BLOCK_MOST = 24, 65_536
+
+
 def _close_pairs(threshold: float):
     def run(table):
         import numpy as np
@@ -95,26 +99,30 @@ def _close_pairs(threshold: float):
         found_i, found_j, found_c = [], [], []
         for a in range(0, len(left), 1024):
             own = left[a : a + 1024]
-            cosine = v[own] @ v[right].T
-            x, y = np.nonzero(cosine > threshold)
-            i, j, c = ids[own[x]], ids[right[y]], cosine[x, y]
-            use = i < j if same else i != j
-            found_i.append(np.minimum(i, j)[use])
-            found_j.append(np.maximum(i, j)[use])
-            found_c.append(c[use])
+            for b in range(0, len(right), 8192):  # products of bounded size, whatever the blocks'
+                other = right[b : b + 8192]
+                cosine = v[own] @ v[other].T
+                x, y = np.nonzero(cosine > threshold)
+                i, j, c = ids[own[x]], ids[other[y]], cosine[x, y]
+                use = i < j if same else i != j
+                found_i.append(np.minimum(i, j)[use])
+                found_j.append(np.maximum(i, j)[use])
+                found_c.append(c[use])
         return pa.table({"i": np.concatenate(found_i), "j": np.concatenate(found_j), "cosine": np.concatenate(found_c)})
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str, vec: str, threshold: float, block_rows: int = 2048) -> DataFrame:
-    """Pairs ``i < j`` of vectors with a cosine above ``threshold``: exact, by products of blocks of about ``block_rows`` vectors.
+    """Pairs ``i < j`` of vectors with a cosine above ``threshold``: exact, by products of blocks of vectors.
 
     Ids are whole numbers, one vector each; null ids and vectors take no part. Every block meets itself and the later ones, so a vector is copied once a block, and a task holds
-    two blocks. The work grows with the square of the rows.
+    two blocks. Blocks have about ``block_rows`` vectors until there are ``BLOCKS`` of them, then they grow to ``BLOCK_MOST`` vectors before their number does: so
+    what is shuffled grows with the rows up to ``BLOCKS * BLOCK_MOST`` of them. The work grows with the square of the rows.
     """
-    unit = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    blocks = max(1, -(-unit.count() // block_rows))
+    unit = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).where("id is not null and v is not null")
+    rows = unit.count()
+    blocks = max(1, min(-(-rows // block_rows), BLOCKS), -(-rows // BLOCK_MOST))
     unit = unit.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     left = unit.select("id", "v", "b", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1).cast("long"))).alias("c"), F.lit(0).alias("side"))
     right = unit.where("b > 0").select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("a"), F.col("b").alias("c"), F.lit(1).alias("side"))

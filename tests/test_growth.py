@@ -77,3 +77,16 @@ def test_topics_are_fitted_on_kept_rows(spark, monkeypatch):
     monkeypatch.setattr(LDA, "fit", lambda self, rows: (seen.append(rows.storageLevel.useDisk), fit(self, rows))[1])
     assert catalog.QUERIES["lda_topics"](spark, "/root/testdata/sf0.001").count()
     assert seen == [True] and not spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+def test_near_duplicates_copy_vectors_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BLOCKS", 3)
+    v = np.random.default_rng(2).normal(size=(60, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<float>")
+    made = []
+    close = corpus._close_pairs
+    got = corpus.near_duplicates(rows, "id", "v", 0.5, block_rows=1)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T, 1) > 0.5)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted(zip(i.tolist(), j.tolist()))
+    assert "sequence(b" in plan(got) and ", 2" in plan(got)
